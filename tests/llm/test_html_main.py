@@ -47,6 +47,7 @@ def test_edge_cases(spark):
     got = {r.page_id: r for r in out}
     assert got[1].text == got[2].text == "" and got[1].n_chars == 0
     assert got[None].text == "text without an id, long enough to count"
+    assert got[3].text == "<" and got[4].text == "just < text &am" and got[6].text == "" and got[10].text == "deep"
     assert got[7].text == ("word " * 100_000).strip()
     assert html_main.extract(df.limit(0)).count() == 0
 

@@ -21,7 +21,7 @@ from ..session import cut, small_batches
 LEAST_SHARE = 0.1
 #: Winning paths are broadcast up to so many hosts; beyond, the pages are joined to them by shuffle.
 MOST_BROADCAST = 20_000
-#: Blocks of fewer characters say nothing about a container.
+#: Blocks of fewer characters, menu items for instance, say little about a container: a quarter of their length.
 TELLING = 25
 
 TOKEN = re.compile(
@@ -198,9 +198,9 @@ def best_container(found: list[tuple[str, Element, int]]) -> Element | None:
     """The container with the most text that isn't links, its own or, at half weight, one level down."""
     seen: dict[int, Element] = {}
     for text, e, links in found:
-        if len(text) < TELLING or e.off or e.heads:
+        if e.off or e.heads:
             continue
-        weight, share = len(text) * max(0.0, 1 - links / len(text)), 1.0
+        weight, share = len(text) * max(0.0, 1 - links / len(text)) * (1 if len(text) >= TELLING else 0.25), 1.0
         c = _container(e)
         for _ in range(3):
             if c is None:
