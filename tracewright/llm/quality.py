@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import SPACES, words
 
 
@@ -31,9 +32,9 @@ class Rules:
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
 
 
-#: Character classes: a letter for each, and the characters in it. What is in none makes up one more class, and the
-#: bytes beyond one for each character another.
-CLASSES = {"v": "aeiou", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0": "0123456789", ".": ".,", "#": "#*$%&|<>", "\n": "\n", " ": " \t", "!": "!?"}
+#: Character classes: a letter for each, and the characters in it, the frequent ones first. What is in none makes up
+#: one more class, and the bytes beyond one for each character another.
+CLASSES = {"v": "aeiou", " ": " \t", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".": ".,", "#": "#*$%&|<>", "0": "0123456789", "\n": "\n", "!": "!?"}
 #: Common words of the languages, of up to four letters, by length.
 COMMON = (
     "a y".split(),
@@ -51,24 +52,29 @@ def _count(text: Column, letter: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
 
 
-def class_counts(text: Column, coded: Column) -> Column:
-    """array<double>: how many characters of each class; coded: the text with a class's letter for each character."""
-    each = [_count(coded, letter) for letter in CLASSES]
+def coded_chars(text: Column) -> Column:
+    """The text with a class's letter for each character; consonants and what else could be taken for a letter are gone."""
+    of = {c: letter for letter, chars in CLASSES.items() for c in chars}
+    mapped = {c: letter for c, letter in of.items() if c != letter}
+    gone = [c for c in {*map(chr, range(ord("a"), ord("z") + 1)), *CLASSES} if c not in of]
+    return F.translate(text, "".join([*mapped, *sorted(gone)]), "".join(mapped.values()))
+
+
+def class_counts(text: Column, coded: list[Column]) -> Column:
+    """array<int>: how many characters of each class, of none, and how many bytes beyond one for each character.
+
+    coded: what coded_chars gives, and that without the first class, without the first two, and so on; so what is
+    scanned soon is short.
+    """
+    each = [F.length(a) - F.length(b) for a, b in zip(coded, coded[1:], strict=False)]
     rest = F.length(text)
     for c in each:
         rest = rest - c
-    return F.array(*[c.cast("double") for c in [*each, rest, F.octet_length(text) - F.length(text)]])
-
-
-def coded_chars(text: Column) -> Column:
-    pairs = [(c, letter) for letter, chars in CLASSES.items() for c in chars if c != letter]
-    # A character that is some class's letter, but isn't in that class, has to make room.
-    taken = [(c, "\x00") for c in CLASSES if not any(c in chars for chars in CLASSES.values())]
-    return F.translate(text, "".join(a for a, _ in pairs + taken), "".join(b for _, b in pairs + taken))
+    return F.array(*each, rest, F.octet_length(text) - F.length(text))
 
 
-def word_counts(ws: Column) -> Column:
-    """array<double>: how many words are each of the common words, and how many none of them."""
+def word_letters(ws: Column) -> Column:
+    """A string of a letter for each word that is one of the common words."""
     at, by_length = 0, []
     for group in COMMON:
         by_length.append((group, "_" + LETTERS[at : at + len(group)]))
@@ -77,16 +83,18 @@ def word_counts(ws: Column) -> Column:
     def letter(w: Column) -> Column:
         n = F.length(w)
         out = F.lit("_")
-        for k, (group, letters) in reversed(list(enumerate(by_length, 1))):
+        for k in (1, 4, 2, 3):  # the most frequent length is looked at first
+            group, letters = by_length[k - 1]
             place = F.array_position(F.array(*[F.lit(x) for x in group]), w).cast("int")
             out = F.when(n == k, F.substr(F.lit(letters), place + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(ws, letter), "")
+    return F.replace(F.array_join(F.transform(F.filter(ws, lambda w: F.length(w) <= len(COMMON)), letter), ""), F.lit("_"), F.lit(""))
 
 
-def letters_to_counts(coded: Column) -> Column:
-    return F.array(*[_count(coded, x).cast("double") for x in "_" + LETTERS[:N_COMMON]])
+def word_counts(letters: Column, n_words: Column) -> Column:
+    """array<int>: how many words are none of the common words, and how many each of them."""
+    return F.array(n_words - F.length(letters), *[_count(letters, x) for x in LETTERS[:N_COMMON]])
 
 
 def repeated_words(window_hashes: Column, window: int) -> Column:
@@ -109,24 +117,37 @@ def repeated_words(window_hashes: Column, window: int) -> Column:
     return F.when(F.size(F.array_distinct(window_hashes)) == F.size(window_hashes), F.lit(0)).otherwise(F.element_at(once, 1))
 
 
-def _histograms(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """Adds the words _w, and the counts _cc and _wc, to the columns kept."""
-    step = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    step = step.select("*", coded_chars(F.col("_t")).alias("_coded"), words(F.col("_t")).alias("_w"))
-    step = step.withColumn("_wl", word_counts(F.col("_w")))
-    return step.withColumn("_cc", class_counts(F.col("_t"), F.col("_coded"))).withColumn("_wc", letters_to_counts(F.col("_wl"))).drop("_coded", "_wl")
-
-
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> list[tuple[list[float], list[float]]]:
-    """Each language's shares of character classes and of common words, over all of its documents.
+def measured(docs: DataFrame, keep: list[Column], text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """The columns kept, and beside them _lang, the counts of the base rules, and the histograms _cc and _wc."""
+    w, k = F.col("_w"), rules.window
+    step = docs.select(*keep, F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    step = step.select("*", coded_chars(F.col("_t")).alias("_c0"), words(F.col("_t")).alias("_w"))
+    for i, letter in enumerate(CLASSES, 1):
+        step = step.withColumn(f"_c{i}", F.replace(F.col(f"_c{i - 1}"), F.lit(letter), F.lit("")))
+    lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    windows = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+    windows = F.when(F.size(w) >= k, windows).otherwise(F.array().cast("array<bigint>"))
+    step = step.withColumns({"_wl": word_letters(w), "_lines": lines, "_h": windows})
+    step = step.withColumns({"_cc": class_counts(F.col("_t"), [F.col(f"_c{i}") for i in range(len(CLASSES) + 1)]), "_wc": word_counts(F.col("_wl"), F.size(w))})
+    counts = {
+        "n_words": F.size(w),
+        "word_chars": F.length(F.concat_ws("", w)),
+        "n_symbols": F.col("_cc")[SYMBOLS],
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": repeated_words(F.col("_h"), k),
+    }
+    return step.withColumns({c: of.cast("long") for c, of in counts.items()}).drop("_wl", "_lines", "_h", "_w", "_t", *[f"_c{i}" for i in range(len(CLASSES) + 1)])
+
+
+def references(of: DataFrame, rules: Rules = Rules()) -> list[tuple[list[float], list[float]]]:
+    """Each language's shares of character classes and of common words, over all of its documents, from their histograms.
 
     The driver gets a row for each of rules.languages at most. Languages without any text have none.
     """
     n_c, n_w = len(CLASSES) + 2, N_COMMON + 1
-    known = docs.where(F.col(lang_col).isin(*rules.languages))
     sums = [F.sum(F.col("_cc")[i]) for i in range(n_c)] + [F.sum(F.col("_wc")[i]) for i in range(n_w)]
     out = []
-    for r in sorted(_histograms(known, text_col, [F.col(lang_col).alias("_lang")]).groupBy("_lang").agg(*sums).collect()):
+    for r in sorted(of.select("_lang", "_cc", "_wc").where(F.col("_lang").isin(*rules.languages)).groupBy("_lang").agg(*sums).collect()):
         c, w = list(r[1 : 1 + n_c]), list(r[1 + n_c :])
         if sum(c) and sum(w):
             out.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
@@ -149,49 +170,39 @@ def divergence(shares: Column, reference: list[float]) -> Column:
     return (_sum(F.transform(shares, _plog)) + own) / 2 - middle
 
 
-def judged(docs: DataFrame, keep: list[Column], text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The columns kept, and beside them n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    char_divergence and word_divergence (null below rules.judged_words, or where no language is known).
+def verdict(of: DataFrame, known: list[tuple[list[float], list[float]]], rules: Rules = Rules()) -> DataFrame:
+    """Adds to what measured() gives base_failed, char_divergence, word_divergence (null below rules.judged_words, or where
+    no language is known) and kept, in place of the histograms.
     """
-    known = references(docs, text_col, lang_col, rules)
-    w, k = F.col("_w"), rules.window
-    step = _histograms(docs, text_col, keep)
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-    step = step.withColumns({"_lines": lines, "_h": F.when(F.size(w) >= k, windows).otherwise(F.array().cast("array<bigint>"))})
-    step = step.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.concat_ws("", w)).cast("long"),
-            "n_symbols": F.col("_cc")[SYMBOLS].cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_h"), k).cast("long"),
-        }
-    ).drop("_lines", "_h", "_w", "_t")
-    step = step.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
-    totals = step.withColumns({"_cn": F.greatest(_sum(F.col("_cc")), F.lit(1.0)), "_wn": F.greatest(_sum(F.col("_wc")), F.lit(1.0))})
-    step = totals.withColumns({"_cs": F.transform("_cc", lambda x: x / F.col("_cn")), "_ws": F.transform("_wc", lambda x: x / F.col("_wn"))})
-    pair = "struct<total:double,c:double,w:double>"
+    step = of.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
+    total = lambda c: F.greatest(F.aggregate(c, F.lit(0), lambda a, b: a + b), F.lit(1))
+    step = step.withColumns({"_cn": total("_cc"), "_wn": total("_wc")})
+    step = step.withColumns({"_cs": F.transform("_cc", lambda x: x / F.col("_cn")), "_ws": F.transform("_wc", lambda x: x / F.col("_wn"))})
     if known:
-        each = [F.struct((divergence(F.col("_cs"), c) + divergence(F.col("_ws"), q)).alias("total"), divergence(F.col("_cs"), c).alias("c"), divergence(F.col("_ws"), q).alias("w")) for c, q in known]
-        nearest = F.when(F.col("n_words") >= rules.judged_words, F.array_min(F.array(*each)))
+        both = [(divergence(F.col("_cs"), c), divergence(F.col("_ws"), q)) for c, q in known]
+        nearest = F.when(F.col("n_words") >= rules.judged_words, F.array_min(F.array(*[F.struct((c + w).alias("total"), c.alias("c"), w.alias("w")) for c, w in both])))
     else:
-        nearest = F.lit(None).cast(pair)
+        nearest = F.lit(None).cast("struct<total:double,c:double,w:double>")
     step = step.withColumn("_near", nearest).withColumns({"char_divergence": F.col("_near.c"), "word_divergence": F.col("_near.w")})
     more = F.lit(rules.allowance) / F.greatest("n_words", F.lit(1))
     far = (F.col("char_divergence") > rules.most_chars + more) | (F.col("word_divergence") > rules.most_words + more)
-    return step.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("_cc", "_wc", "_cn", "_wn", "_cs", "_ws", "_near")
+    return step.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("_lang", "_cc", "_wc", "_cn", "_wn", "_cs", "_ws", "_near")
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The verdict on every document: doc_id, the counts, base_failed, kept, the divergences.
+    """The verdict on every document: doc_id, the counts, base_failed, the divergences, kept.
 
     A null or empty text has no words and fails the base rules. A null or unknown language only keeps a text out of the
-    references. Repeated rows and null ids stay; other columns aren't read. An empty table gives an empty one.
+    references. Repeated rows and null ids stay; other columns aren't read. An empty table gives an empty one. What is
+    measured, some numbers for each document, is cut off in the shared folder, as references and verdicts both read it.
     """
-    return judged(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col, lang_col, rules)
+    of = cut(measured(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col, lang_col, rules))
+    return verdict(of, references(of, rules), rules)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that are kept, with their columns as they are."""
-    return judged(docs, [F.struct("*").alias("_row")], text_col, lang_col, rules).where("kept").select("_row.*")
+    """The rows of docs that are kept, with their columns as they are. Texts are read twice, and shuffled never."""
+    of = measured(docs, [F.struct("*").alias("_row")], text_col, lang_col, rules)
+    judged = verdict(of, references(of, rules), rules)
+    # As a filter it would be pushed below the steps, and each of them written out as often as the next ones name it.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")
