@@ -31,7 +31,7 @@ UNUSUAL = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0132-\u0148\u014a-\
 #: The vocabulary's pattern of words, for lower-case texts that aren't unusual.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ž0-9²³¹¼-¾]+")
 #: Words remembered at a time, and the longest word that is remembered.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 800_000, 64
 #: Characters that are tokenised at a time.
 MOST_CHARS = 1 << 20
 
@@ -121,15 +121,19 @@ class _Words(dict):
     """The ids of words, as little-endian unsigned 32-bit numbers; the library encodes those that aren't remembered."""
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode
+        self.encode = _tokenizer(path).encode_batch_fast
 
-    def __missing__(self, word: str) -> bytes:
+    def of(self, texts: list[list[str]]) -> list[bytes]:
         if len(self) >= REMEMBERED:
             self.clear()
-        got = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_REMEMBERED:
-            self[word] = got
-        return got
+        new = [w for w in set().union(*texts) if w not in self]
+        for word, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
+            self[word] = np.array(e.ids, "<u4").tobytes()
+        out = [b"".join(map(self.__getitem__, ws)) for ws in texts]
+        for word in new:
+            if len(word) > LONGEST_REMEMBERED:
+                del self[word]
+        return out
 
 
 _words = cache(_Words)
@@ -142,11 +146,10 @@ def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     the library encodes once; other texts, and those with a special token's string, it encodes whole.
     """
     end = np.array([end_id], "<u4").tobytes()
-    words = _words(path)
-    out: list[np.ndarray | None] = []
-    for x in texts:
-        plain = not UNUSUAL.search(x)
-        out.append(np.frombuffer(b"".join(map(words.__getitem__, WORD.findall(x.lower()))) + end, "<u4") if plain else None)
+    usual = [i for i, x in enumerate(texts) if not UNUSUAL.search(x)]
+    out: list[np.ndarray | None] = [None] * len(texts)
+    for i, ids in zip(usual, _words(path).of([WORD.findall(texts[i].lower()) for i in usual]), strict=True):
+        out[i] = np.frombuffer(ids + end, "<u4")
     rest = [i for i, ids in enumerate(out) if ids is None]
     for i, ids in zip(rest, _whole([texts[i] for i in rest], path, end_id), strict=True):
         out[i] = ids
