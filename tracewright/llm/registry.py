@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, table
-from . import bpe, chat, html_main, iblt, line_dedup, packing, quality, shards, simhash, sql
+from . import bpe, chat, html_main, iblt, line_dedup, packing, quality, shards, simhash, sql, toxicity
 
 #: Names of the tokenizer files, which lie in the folder of the installed package of public tokenizers.
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, after deobfuscation."""
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by the contiguous rank array."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
@@ -50,8 +55,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents appended as small shards, compacted to files of 32 MB, and read back by the newest manifest."""
-    shard_table = shards.ShardTable(spark, fresh_path(spark, "shards"), target=32 << 20)
+    """All documents appended as small shards, compacted to files of 64 MB, and read back by the newest manifest."""
+    shard_table = shards.ShardTable(spark, fresh_path(spark, "shards"), target=64 << 20)
     shard_table.append(table(spark, sf_dir, "documents"))
     shard_table.compact()
     shard_table.vacuum()
@@ -75,6 +80,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprint": op4_fingerprint,
