@@ -101,7 +101,7 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 # --- the channel --------------------------------------------------------------------------------------------------
 
 #: What letters a sign of leetspeak may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou", "#": "h", "(": "c", "{": "c"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou"}
 SIGNS = re.escape("".join(LEET))
 #: Costs of the channel: a letter written as a sign; a sign that nothing stands behind; a letter repeated; a word's end
 #: between spaced letters; and what a sign within a word costs where the stretch is left as it stands.
@@ -130,10 +130,12 @@ def suspicious(points: np.ndarray) -> np.ndarray:
     if len(p) > 2:
         low = np.where(LETTER[p] > 0, LETTER[p], points)
         out[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-    if len(p) > 6:
-        solid = letter | sign
-        out[:-4] |= solid[:-4] & gap[1:-3] & gap[3:-1] & solid[2:-2] & solid[4:]
-        out[:-4] |= solid[:-4] & gap[1:-3] & gap[2:-2] & solid[3:-1] & gap[4:]
+    if len(p) > 6:  # three single characters set apart, and a gap behind them
+        solid = letter | sign | (points == 95)
+        alone = np.ones(len(p), bool)
+        alone[1:] = ~letter[:-1]
+        near = alone[:-5] & solid[:-5] & gap[1:-4] & solid[2:-3] & (points[1:-4] == points[3:-2])
+        out[:-5] |= near & ((solid[4:-1] & gap[5:]) | gap[4:-1])
     return out
 
 
