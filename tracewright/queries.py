@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import cases
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (cases,):
+    QUERIES |= _plans.QUERIES
+    ORACLE_SQL |= _plans.ORACLE_SQL
