@@ -1,6 +1,6 @@
 """Packing into windows by Karmarkar-Karp multiway differencing.
 
-Documents are cut into pieces, and the pieces of a stretch of the corpus, about a million tokens, are dealt to as many
+Documents are cut into pieces, and the pieces of a stretch of the corpus, about half a million tokens, are dealt to as many
 windows as their tokens need. Differencing starts from one partial partition for each piece. Again and again it takes
 the two with the largest imbalance and merges them with opposing imbalances, the fullest window of one with the
 emptiest of the other, until one partition is left. If a window then exceeds the capacity, one more window is tried.
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
+from .bpe import byte_letters
 
 CAPACITY, END_ID = 4096, 2
 #: Tokens that are packed together, and tokens in a piece at most; longer rests of documents are cut evenly.
-STRETCH, PIECE = 1 << 20, 1024
+STRETCH, PIECE = 1 << 19, 1024
 #: What makes a text unusual: characters whose case, form or class needs the library's own tables, and special tokens.
 UNUSUAL = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0132-\u0148\u014a-\u017e]|\xad|<\|")
 #: The vocabulary's pattern of words, for lower-case texts that aren't unusual.
@@ -118,22 +120,20 @@ def _stretches(text: str) -> list[str]:
 
 
 class _Words(dict):
-    """The ids of words, as little-endian unsigned 32-bit numbers; the library encodes those that aren't remembered."""
+    """The ids of words, as little-endian unsigned 32-bit numbers; the library's model merges those not remembered."""
 
     def __init__(self, path: str):
-        self.encode = _tokenizer(path).encode_batch_fast
+        self.merge, self.letters = _tokenizer(path).model.tokenize, byte_letters()
 
-    def of(self, texts: list[list[str]]) -> list[bytes]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        new = [w for w in set().union(*texts) if w not in self]
-        for word, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.__getitem__, ws)) for ws in texts]
-        for word in new:
-            if len(word) > LONGEST_REMEMBERED:
-                del self[word]
-        return out
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ids = [t.id for t in self.merge(shown)]
+        got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = got
+        return got
 
 
 _words = cache(_Words)
@@ -146,10 +146,11 @@ def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     the library encodes once; other texts, and those with a special token's string, it encodes whole.
     """
     end = np.array([end_id], "<u4").tobytes()
-    usual = [i for i, x in enumerate(texts) if not UNUSUAL.search(x)]
-    out: list[np.ndarray | None] = [None] * len(texts)
-    for i, ids in zip(usual, _words(path).of([WORD.findall(texts[i].lower()) for i in usual]), strict=True):
-        out[i] = np.frombuffer(ids + end, "<u4")
+    ids_of = _words(path).__getitem__
+    out: list[np.ndarray | None] = []
+    for x in texts:
+        usual = not UNUSUAL.search(x)
+        out.append(np.frombuffer(b"".join([*map(ids_of, WORD.findall(x.lower())), end]), "<u4") if usual else None)
     rest = [i for i, ids in enumerate(out) if ids is None]
     for i, ids in zip(rest, _whole([texts[i] for i in rest], path, end_id), strict=True):
         out[i] = ids
