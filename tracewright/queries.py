@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cases
+from .plans import cases, links, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (cases,):
+for _plans in (cases, links, texts):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
