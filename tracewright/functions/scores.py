@@ -42,7 +42,7 @@ def pillar_auth(spf: Column, dkim: Column, dmarc: Column, reject: Column, misali
     p = _penalty(spf, {"fail": 45, "softfail": 25, "none": 15, "neutral": 15, "unverifiable": 10, "temperror": 10, "permerror": 10})
     p = p + _penalty(dkim, {"fail": 35, "none": 10, "unverifiable": 5, "temperror": 5, "permerror": 5})
     p = p + F.when((dmarc == "fail") & reject, 60).otherwise(_penalty(dmarc, {"fail": 40, "none": 10}))
-    failed = (spf == "fail") | (dkim == "fail") | (dmarc == "fail")
+    failed = spf.isin("fail", "softfail") | (dkim == "fail") | (dmarc == "fail")
     return clamp(p + 15 * misaligned + F.when(protected & failed, 20).otherwise(0))
 
 
@@ -69,10 +69,10 @@ def pillar_entropy(score: Column, packed_and_high: Column) -> Column:
 
 
 def risk(pillars: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
-    """The weighted sum, weights normalised, rounded half to even."""
+    """The weighted sum, weights normalised, rounded half to even; sixth decimals first, so that sums in any order agree."""
     total = sum(weights.values())
     terms = [pillars[k] * (w / total) for k, w in weights.items()]
-    return F.bround(sum(terms[1:], terms[0]), 0).cast("int")
+    return F.bround(F.round(sum(terms[1:], terms[0]), 6), 0).cast("int")
 
 
 def fuse_confidence(rule: Column, model: Column, p: Column, risk_score: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cases, links, texts
+from .plans import cases, links, scoring, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (cases, links, texts):
+for _plans in (cases, links, texts, scoring):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
