@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cases, links, scoring, texts
+from .plans import cases, links, models, scoring, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (cases, links, texts, scoring):
+for _plans in (cases, links, texts, scoring, models):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
