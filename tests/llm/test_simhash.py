@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 
 from tracewright.llm import simhash
+from tracewright.operators.components import components
 from tracewright.session import table
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, label string"
@@ -89,8 +90,6 @@ def test_links_connect_what_all_pairs_connect(spark):
     want = {frozenset(x for x in arr if find(x) == r) for r in arr if find(r) == r}
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     for most in (65_536, 9):
-        from tracewright.llm.common import components
-
         label = {r.node: r.label for r in components(simhash.links(df, most=most)).collect()}
         got = {}
         for s, x in zip(signed, arr, strict=True):

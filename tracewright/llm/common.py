@@ -1,12 +1,10 @@
-"""What several of the operators share: words, hashes, linked components."""
+"""What several of the operators share: words and hashes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import cut
-
 #: The white space that separates words, as characters and as a pattern.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -26,31 +24,3 @@ def lower_ascii(text: Column) -> Column:
 def hex64(value: Column) -> Column:
     """Sixteen lowercase hex digits of a long."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges of longs: (node, label), where label is the smallest node reachable.
-
-    Alternates the large-star and small-star steps, each a grouped minimum and a join, until the edges are stars.
-    A hub's neighbours are never gathered in one row or task: the minimum is combined before the shuffle and the
-    join may split a hot key. Each round is cut off in the shared folder. Loops and repeated edges do no harm.
-    Nodes without an edge to another don't appear.
-    """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = cut(pairs)
-    seen = None
-    for _ in range(most_rounds):
-        both = pairs.union(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(pairs.select(F.col("v"), F.col("v")).distinct())

@@ -94,5 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": sql.LINE_DEDUP,
+    "op6_chat": sql.CHAT,
     "op7_sharding": sql.SHARDING,
+    "op9_quality": sql.QUALITY,
 }

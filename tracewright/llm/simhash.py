@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import cut, small_batches
-from .common import components, hex64, lower_ascii, words
+from .common import hex64, lower_ascii, words
 
 MAX_BITS = 4
 BLOCKS = 7
