@@ -25,6 +25,8 @@ BLOCKS = 7
 SHINGLE = 4
 #: Fingerprints under one key that a task compares; more than these are linked through midpoints instead.
 MOST_UNDER_KEY = 65_536
+#: Parts that a component's fingerprints are dealt to when they learn its smallest id.
+SALTS = 16
 _CHUNK = 1 << 17
 
 
@@ -169,9 +171,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = cut(fingerprints(docs, id_col, text_col))
     leads = own.groupBy("fp").agg(F.min("doc_id").alias("lead"))
     label = components(links(leads.select("fp"), max_bits, blocks)).select(F.col("node").alias("fp"), "label")
-    labelled = leads.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("lead").alias("component_id"))
-    by_fp = labelled.join(least, "label").select("fp", "component_id")
+    marked = leads.join(label, "fp", "left")
+    alone = marked.where("label IS NULL").select("fp", F.col("lead").alias("component_id"))
+    linked = marked.where("label IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("label").agg(F.min("lead").alias("component_id"))
+    parts = least.select("label", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    by_fp = linked.join(parts, ["label", "salt"]).select("fp", "component_id").union(alone)
     return own.join(by_fp, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
