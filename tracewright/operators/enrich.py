@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import net
 from ..functions.text import text_or_empty
+from ..session import cut
 
 #: Formats in which registries give dates, tried in order.
 DATE_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd-MMM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "MM/dd/yyyy", "yyyyMMdd"]
@@ -100,7 +101,9 @@ def spf_networks(terms: DataFrame, most: int = MOST_LOOKUPS) -> DataFrame:
         here = edge.join(terms.withColumnRenamed("domain", "at"), "at")
         found.append(here.where(F.col("mechanism").isin("ip4", "all")).select("domain", F.coalesce("as_", "qualifier").alias("qualifier"), F.when(F.col("mechanism") == "all", "0.0.0.0/0").otherwise(F.col("value")).alias("cidr"), "steps", F.col("mechanism").alias("_m"), F.col("as_").alias("_via")))
         nxt = here.where(F.col("mechanism").isin("include", "redirect")).select("domain", F.col("value").alias("at"), F.when(F.col("mechanism") == "include", F.coalesce("as_", "qualifier")).otherwise(F.col("as_")).alias("as_"), F.lit(k + 1).alias("steps"))
-        edge = nxt.distinct()
+        edge = cut(nxt.distinct())
+        if edge.isEmpty():
+            break
     every = reduce(DataFrame.unionByName, found)
     # An included policy's own 'all' says nothing about the including domain.
     return every.where((F.col("_m") != "all") | F.col("_via").isNull()).select("domain", "qualifier", "cidr", "steps").distinct()
