@@ -95,10 +95,11 @@ QUERIES = {
     "custody_get": lambda s, d: table(s, d, "events").where("user_id = 7").select("event_id", "event_type", F.row_number().over(Window.orderBy("event_id")).alias("seq")),
     "url_b64_param": lambda s, d: table(s, d, "customer").select("c_custkey", F.base64(F.col("c_name").cast("binary")).alias("b")).select("c_custkey", (F.length(F.regexp_replace(F.decode(F.try_to_binary("b", F.lit("base64")), "UTF-8"), r"[^\x20-\x7e]", "")) > 0.8 * F.length(F.decode(F.try_to_binary("b", F.lit("base64")), "UTF-8"))).alias("printable")),
     "text_norm": lambda s, d: docs(s, d).select("doc_id", F.substring(F.lower(T.collapse(F.translate("text", "‘’“”–—", "''\"\"--"))), 1, 200_000).alias("text")),
-    "nlp_heur": lambda s, d: docs(s, d).select("doc_id", F.array_max(F.array(*[F.struct(F.size(T.lexicon_hits(F.col("text"), words)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("label")) for k, (name, words) in enumerate({"Legitimate": ["the", "of"], "Phishing": ["idiot", "scum", "worthless"], "Suspicious": ["und", "der", "die"]}.items())])).alias("m")).select("doc_id", F.col("m.label").alias("label"), F.col("m.n").alias("n")),
+    "nlp_heur": lambda s, d: docs(s, d).select("doc_id", F.array_max(F.array(*[F.struct(F.size(T.lexicon_hits(F.regexp_replace("text", r"[^\x00-\x7f]", " "), words)).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("label")) for k, (name, words) in enumerate({"Legitimate": ["the", "of"], "Phishing": ["idiot", "scum", "worthless"], "Suspicious": ["und", "der", "die"]}.items())])).alias("m")).select("doc_id", F.col("m.label").alias("label"), F.col("m.n").alias("n")),
 }
 
-_TEXT = "lower(text)"
+#: RE2 takes ASCII alone for letters at a word's end, so the carrier is made plain on both sides.
+_TEXT = "lower(regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g'))"
 
 
 def _hits(words):
