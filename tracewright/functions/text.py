@@ -107,9 +107,12 @@ def shannon(c: Column) -> Column:
 def shingles(c: Column, width: int = 3) -> Column:
     """All runs of `width` lower-cased Unicode words, repeats included; of fewer words each by itself."""
     ws = F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(r"(?U)\w+"), F.lit(0))
-    n = F.size(ws)
-    runs = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.array_join(F.slice(ws, i + 1, width), " "))
-    return F.when(n >= width, runs).otherwise(ws)
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(width)]))
+        return F.when(F.size(w) >= width, each).otherwise(w)
+
+    return F.element_at(F.transform(F.array(ws), runs), 1)  # bound to a variable, the words are worked out once
 
 
 def hamming(a: Column, b: Column) -> Column:

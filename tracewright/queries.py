@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cases, enrich, links, models, scoring, texts
+from .plans import cases, enrich, links, messages, models, scoring, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (cases, links, texts, scoring, enrich, models):
+for _plans in (cases, links, texts, scoring, enrich, messages, models):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
