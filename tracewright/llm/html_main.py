@@ -46,7 +46,7 @@ NOT_MAIN_WORD = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments "
     "commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription "
-    "signup login search form hidden skip paywall pagination pager".split()
+    "signup login search form hidden skip paywall pagination pager response responses thread toc announcement disclaimer warning adsense adslot adunit teaser teasers".split()
 )
 HEADER_WORD = frozenset("header heading".split())
 
