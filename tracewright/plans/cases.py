@@ -93,7 +93,7 @@ def event_hops(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     return e.select(
         F.col("user_id").alias("msg_id"),
-        (F.row_number().over(w) - 1).alias("idx"),
+        (F.row_number().over(w) - 1).cast("long").alias("idx"),
         F.when(k % 6 != 0, F.col("ts").cast("timestamp")).alias("ts"),
         F.concat_ws(".", F.lit("20"), k % 200, F.lit("0"), F.lit("1")).alias("ip"),
         (k % 3 != 0).alias("public"),
