@@ -107,3 +107,35 @@ def test_majority_over_chunks(monkeypatch):
     for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
         want = sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in h[a:b]) > b - a)
         assert int(got[k]) == want
+
+
+def brute_kept(rows: list[tuple[int, str]]) -> list[int]:
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+
+
+def test_deduplicate_matches_brute_force_jaccard(spark, monkeypatch):
+    """Copies with more and more words changed, near 0.8 on either side; also where keys count as too full."""
+    rng = random.Random(8)
+    rows, shared = [], " ".join(f"s{i}" for i in range(30))
+    for k in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(40, 200))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 25))):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w) + (f" {shared}" if k % 2 else "")))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_kept(rows)
+    assert 12 < len(want) < len(rows)
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == want
+    near_copies = simhash.jaccard.near_copies
+    monkeypatch.setattr(simhash.jaccard, "near_copies", lambda *args: near_copies(*args, full=2))
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == want

@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import cut, small_batches
+from . import jaccard
 from .common import hex64, lower_ascii, words
 
 MAX_BITS = 4
 BLOCKS = 7
 SHINGLE = 4
+#: Words of a shingle where a stage of the pipeline removes near copies.
+WIDTH = 5
 #: Fingerprints under one key that a task compares; more than these are linked through midpoints instead.
 MOST_UNDER_KEY = 65_536
 #: Parts that a component's fingerprints are dealt to when they learn its smallest id.
@@ -53,20 +56,25 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(hashes, ends).view(np.int64))], names=["doc_id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row.
-
-    Shingles of `width` words of the text with A-Z lowered, repeats included, are hashed by Spark with XXH64 (seed 42);
-    a text of fewer words is one shingle. Null, empty and blank texts have the fingerprint 0. Repeated rows stay.
-    """
+def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """(doc_id, h array<long>) of every row: the hashes of its shingles, as `fingerprints` tells."""
     small_batches(docs.sparkSession)
     w, i = F.col("w"), F.col("n") - width
     runs = F.transform(F.sequence(F.lit(0), i), lambda k: F.xxhash64(F.concat_ws(" ", *[F.get(w, k + j) for j in range(width)])))
-    listed = (
+    return (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), words(lower_ascii(F.col(text_col))).alias("w"))
         .withColumn("n", F.size("w"))
         .select("doc_id", F.when(F.col("n") == 0, F.array().cast("array<bigint>")).when(i < 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(runs).alias("h"))
     )
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp long) of every row.
+
+    Shingles of `width` words of the text with A-Z lowered, repeats included, are hashed by Spark with XXH64 (seed 42);
+    a text of fewer words is one shingle. Null, empty and blank texts have the fingerprint 0. Repeated rows stay.
+    """
+    listed = shingles(docs, id_col, text_col, width)
     return listed.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -180,11 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(by_fp, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = jaccard.LIKENESS) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest id stays, once.
 
+    Texts are near copies if the Jaccard similarity of their shingles of `width` words is `likeness` or more, exactly.
     Rows with a null id can't be told apart and stay only where their component has no other row.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // jaccard.SAMPLE))) == 0)
+    found = jaccard.near_copies(shingles(docs, id_col, text_col, width), shingles(sample, id_col, text_col, width), likeness)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
