@@ -81,3 +81,10 @@ def test_edge_cases(spark, small):
 def test_beginnings_give_way_to_longer_ones():
     found = {"tra": (10, 1.0), "tras": (10, 1.0), "trash$": (10, 1.0), "low": (10, 1.0), "lowa": (5, 1.0), "lowb$": (5, 1.0)}
     assert set(toxicity.most_specific(found)) == {"trash$", "low", "lowa", "lowb$"}
+
+
+def test_signs_of_h_and_c(small):
+    decoder = toxicity.Decoder(toxicity.CharModel(small[2].counts))
+    for shown in ("s#ame", "(lown", "s{um"):
+        assert toxicity.suspicious(np.frombuffer(shown.encode("utf-32-le"), np.uint32)).any()
+    assert toxicity.restore_batch(["s#ame", "(lown", "s{um"], decoder) == ["shame", "clown", "scum"]
