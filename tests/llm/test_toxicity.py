@@ -25,19 +25,73 @@ def test_decoding(small):
     decoder = toxicity.Decoder(toxicity.CharModel(small[2].counts))
     for shown, meant in {"1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "i.d.i.o.t": "idiot", "s-t-u-p-i-d": "stupid", "idiooooot": "idiot", "st*pid": "stupid", "$tupid": "stupid", "y o u   i d i o t": "you idiot", "w0rthl3ss": "worthless"}.items():
         assert decoder.restore(shown) == meant
-    for same in ("", "plain words stay", "12345 +1 (389) 555", "von%%% der###", "É à ô", "x" * 500):
+    for same in ("", "plain words stay", "12345 +1 (389) 555", "von%%% der###", "É à ô", "stop! hi* (see page) #1"):
         assert decoder.restore(same) == same
 
 
 def test_quick_test_misses_nothing():
     rng = np.random.default_rng(4)
-    alphabet = list("aabI1$0 .-é*Z9|日")
+    alphabet = list("aabI1$0 .-é*Z9|日€øß@_²ıK")
     for _ in range(3000):
         t = "".join(rng.choice(alphabet, rng.integers(1, 14)))
         if toxicity.SUSPICIOUS.search(t):
             assert toxicity.suspicious(np.frombuffer(t.encode("utf-32-le"), np.uint32)).any(), t
 
 
+def test_stretches_of_any_length(small):
+    decoder = toxicity.Decoder(toxicity.CharModel(small[2].counts))
+    for n in (3, 115, 130, 5000):
+        assert decoder.restore("idi" + "o" * n + "t") == "idiot"
+    assert decoder.restore("i d i o t  " * 200).split() == ["idiot"] * 200
+    for shown, meant in {"m0r0n5": "morons", "id1ot$": "idiot", "h€ll": "hell", "€vil": "evil"}.items():
+        assert toxicity.restore_batch([shown], decoder) == [meant]
+
+
+def paths(text, gap):
+    """Every way through a stretch's lattice, written out: (channel cost, letters)."""
+    out = [(0.0, "")]
+    for i, ch in enumerate(text):
+        low, nxt = ch.lower(), []
+        run = any(text[k : k + 3].lower() == low * 3 for k in range(max(0, i - 2), i + 1))
+        for cost, said in out:
+            if i and ch == gap:
+                before, behind = text[i - 1] == gap, text[i + 1 : i + 2] == gap
+                if before or not behind:
+                    nxt.append((cost, said))
+                if not before:
+                    nxt.append((cost + (0 if behind else toxicity.GAP), said + " "))
+                continue
+            for x in toxicity.LEET.get(ch, low):
+                more = toxicity.SIGN if ch in toxicity.LEET else 0
+                nxt.append((cost + more, said + x))
+                if run and said[-1:] == x and x.isalpha():
+                    nxt.append((cost + more + toxicity.REPEAT, said))
+            if ch in toxicity.LEET and not ch.isdigit():
+                nxt.append((cost + toxicity.STRAY, said))
+        out = nxt
+    return out
+
+
+def test_viterbi_matches_enumeration(small):
+    """The least cost over all ways through the lattice, each weighed whole by the language model."""
+    model = toxicity.CharModel(small[2].counts)
+    decoder = toxicity.Decoder(model)
+
+    def weigh(said):
+        c = [0, 0, *(0 if x == " " else int(toxicity.LETTER[ord(x)]) for x in said), 0]
+        return sum(model.cost[a][b][d] for a, b, d in zip(c, c[1:], c[2:], strict=False))
+
+    rng = np.random.default_rng(6)
+    texts = [("1d10t", None), ("$$$", None), ("aaa", None), ("aAa1|!", None), ("i d i o t", " "), ("a  b c", " "), ("4.$.$", "."), ("1***1*a", "*")]
+    texts += [("".join(rng.choice(list("aoost10$|*"), rng.integers(1, 9))), None) for _ in range(150)]
+    texts += [("-".join(rng.choice(list("aos1$"), rng.integers(3, 6))).replace("--", "-"), "-") for _ in range(50)]
+    for text, gap in texts:
+        cost, said = decoder.best(text, gap)
+        ways = [(c + weigh(x), x) for c, x in paths(text, gap)]
+        assert abs(cost - min(ways)[0]) < 1e-9, text
+        assert any(x == said and c < cost + 1e-9 for c, x in ways), text
+
+
 def test_counts_match_brute_force(spark):
     texts = ["Abc déf", None, "", "zz"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, small_batches
 
-#: Labelled documents that the lexicon and the curve are fitted on at most, and features that a lexicon holds at most.
-MOST_TRAINED, MOST_FEATURES = 8000, 20_000
+#: Labelled documents that the lexicon and the curve are fitted on at most. Features are of these alone, so they are
+#: bounded with them.
+MOST_TRAINED = 8000
 #: Beginnings of words that are features, in characters; a whole word is one too.
 BEGINNINGS = range(3, 9)
 #: The least share of toxic ones among the learned documents that have a feature; and the share of a beginning's
@@ -103,35 +104,54 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 #: What letters a sign of leetspeak may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "*": "aeiou", "#": "h", "(": "c", "{": "c"}
 SIGNS = re.escape("".join(LEET))
+#: Signs that may also end a word; the others are punctuation there.
+ENDS = re.escape("0123456789@$€£")
 #: Costs of the channel: a letter written as a sign; a sign that nothing stands behind; a letter repeated; a word's end
-#: between spaced letters; and what a sign within a word costs where the stretch is left as it stands.
-SIGN, STRAY, REPEAT, GAP, AS_IS = 1.0, 5.0, 0.3, 6.0, 6.5
-#: A stretch to decode: a word with a sign before or between letters, one with a letter thrice in a row, or single
-#: characters set apart.
+#: between spaced letters; what a sign within a word costs where the stretch is left as it stands; and punctuation
+#: before a word, where it often stands.
+SIGN, STRAY, REPEAT, GAP, AS_IS, AS_IS_FIRST = 1.0, 5.0, 0.3, 6.0, 6.5, 4.9
+PUNCTUATION = "({#*+|!"
+#: A stretch to decode: single characters set apart; a word with signs before or between letters, or at its end; one of
+#: signs only; one with a letter thrice in a row. Words are entered at their beginnings alone and without going back, so
+#: the search is linear in the text.
 SPACED = rf"(?<![^\s])(?:[^\W_]|[{SIGNS}])(?:([ ._\-*])(?:[^\W_]|[{SIGNS}]))(?:\1{{1,3}}(?:[^\W_]|[{SIGNS}])){{2,}}(?![^\W_])"
-WORD = rf"[^\W_{SIGNS}]*(?:[{SIGNS}]+[^\W\d_]+)+(?:[{SIGNS}](?![{SIGNS}]))?|[^\W\d_]*([^\W\d_])\2\2+[^\W\d_]*"
-SUSPICIOUS = re.compile(rf"{SPACED}|{WORD}", re.I)
-_IS_SIGN = np.zeros(0x180, bool)
-_IS_SIGN[[ord(c) for c in LEET if ord(c) < 0x180]] = True
-_IS_GAP = np.zeros(0x180, bool)
-_IS_GAP[[ord(c) for c in " ._-*"]] = True
-#: Longer words are data, and stay as they are; longer stretches of spaced characters are cut, between words if they can be.
-LONGEST = 120
+MIXED = rf"(?<![^\W_])[^\W_{SIGNS}]*+(?:[{SIGNS}]++[^\W\d_]++)++(?:[{ENDS}]++(?!\w)|[{SIGNS}](?![{SIGNS}]))?"
+ENDED = rf"(?<![^\W_])[^\W\d_]++[{ENDS}]++(?!\w)"
+ALL_SIGNS = rf"(?<![\w{SIGNS}])[@$][@$€£!|+]{{2,}}+(?![\w{SIGNS}])"
+RUN = r"(?<![^\W\d_])[^\W\d_]*([^\W\d_])\2\2+[^\W\d_]*"
+SUSPICIOUS = re.compile(rf"{SPACED}|{MIXED}|{ENDED}|{ALL_SIGNS}|{RUN}", re.I)
+#: Longest stretch whose decoding is remembered.
+LONGEST_REMEMBERED = 64
+
+
+def _table(holds) -> np.ndarray:
+    return np.array([holds(chr(i)) for i in range(0x180)])
+
+
+_IS_SIGN, _IS_END, _IS_GAP = (_table(lambda c, of=of: c in of) for of in ("".join(LEET), "0123456789@$£", " ._-*"))
+_IS_LETTER = _table(lambda c: c.isalnum() and not c.isdecimal())
+_LOW = _table(lambda c: ord(c.lower()[0])).astype(np.uint32)
+_FAR_SIGNS = np.array([ord(c) for c in LEET if ord(c) >= 0x180], np.uint32)
 
 
 def suspicious(points: np.ndarray) -> np.ndarray:
     """Where something begins that may be a stretch to decode: a quick test, for whole batches, that misses none."""
-    p = np.where(points < 0x180, points, 0)
-    letter, sign, gap = LETTER[p] > 0, _IS_SIGN[p], _IS_GAP[p]
-    letter |= points >= 0x180
+    far = points >= 0x180
+    p = np.where(far, 0, points)
+    letter, sign, gap, end, low = _IS_LETTER[p], _IS_SIGN[p], _IS_GAP[p], _IS_END[p], _LOW[p]
+    if far.any():
+        odd = points[far]
+        euro = np.isin(odd, _FAR_SIGNS)
+        letter[far], sign[far], end[far] = ~euro, euro, euro
+        each, back = np.unique(odd, return_inverse=True)
+        low[far] = np.array([ord(chr(x).lower()[0]) for x in each.tolist()], np.uint32)[back]
     out = np.zeros(len(p), bool)
     if len(p) > 1:
-        out[:-1] = sign[:-1] & letter[1:]
+        out[:-1] = (sign[:-1] & letter[1:]) | (letter[:-1] & end[1:]) | (sign[:-1] & sign[1:] & ((points[:-1] == 64) | (points[:-1] == 36)))
     if len(p) > 2:
-        low = np.where(LETTER[p] > 0, LETTER[p], points)
         out[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
     if len(p) > 6:  # three single characters set apart, and a gap behind them
-        solid = letter | sign | (points == 95)
+        solid = letter | sign
         alone = np.ones(len(p), bool)
         alone[1:] = ~letter[:-1]
         near = alone[:-5] & solid[:-5] & gap[1:-4] & solid[2:-3] & (points[1:-4] == points[3:-2])
@@ -140,84 +160,90 @@ def suspicious(points: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of suspicious stretches; what a stretch decodes to is remembered."""
+    """Viterbi decoding of suspicious stretches of any length; what a short stretch decodes to is remembered."""
 
     def __init__(self, model: CharModel):
         self.cost, self.known = model.cost, {}
 
-    def _as_it_stands(self, text: str) -> float:
+    def as_it_stands(self, text: str) -> float:
+        """What it costs to leave a stretch as it is."""
         a = b = total = 0
         for c in classes(text).tolist():
             total += self.cost[a][b][c] if c else 0
             a, b = b, c
         total += self.cost[a][b][0]
-        return total + AS_IS * sum(ch in LEET for ch in text)
+        total += AS_IS * sum(ch in LEET for ch in text)
+        return total - (AS_IS - AS_IS_FIRST if text[0] in PUNCTUATION else 0)
+
+    def decode(self, text: str, gap: str | None = None) -> str:
+        """The likeliest letters behind a stretch, or the stretch itself if that is likelier.
 
-    def decode(self, text: str) -> str:
-        """The likeliest letters behind a stretch, or the stretch itself if that is likelier."""
-        got = self.known.get(text)
+        gap: what stands between its characters, if they are set apart; such a stretch is never left as it is.
+        """
+        if len(text) > LONGEST_REMEMBERED:
+            return self._decode(text, gap)
+        got = self.known.get((text, gap))
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[text] = self._decode(text)
+            got = self.known[text, gap] = self._decode(text, gap)
         return got
 
-    def _decode(self, text: str) -> str:
-        spaced = re.match(rf".([ ._\-*])(?:\1*.(?:\1|$))+$", text) is not None
-        if len(text) > LONGEST:
-            return self._in_parts(text) if spaced else text
-        gap = re.match(r".([ ._\-*])", text)[1] if spaced else ""
-        # States are the two letters before, each with its cost so far and what has been written.
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        i = 0
-        while i < len(text):
-            ch = text[i]
-            nxt: dict[tuple[int, int, str], tuple[float, str]] = {}
-
-            def reach(key, cost, out, nxt=nxt):
-                if key not in nxt or nxt[key][0] > cost:
-                    nxt[key] = cost, out
-
-            for (a, b, last), (cost, out) in states.items():
-                if spaced and ch == gap:  # of several in a row, the first ends a word
-                    wide = gap in (text[i - 1], text[i + 1])
-                    if not wide:
-                        reach((a, b, last), cost, out)
-                    if text[i - 1] == gap:
-                        reach((a, b, last), cost, out)
-                    else:
-                        reach((b, 0, ""), cost + self.cost[a][b][0] + (0 if wide else GAP), out + " ")
-                    continue
-                low = ch.lower()
-                options = [(low, int(LETTER[ord(low[0])]) if ord(low[0]) < 0x180 else 0, 0.0)]
-                if ch in LEET:
-                    options = [(x, ord(x) - 96, SIGN) for x in LEET[ch]]
-                    if not ch.isdigit():
-                        reach((a, b, last), cost + STRAY, out)
-                run = ch.lower() * 3 in text[max(0, i - 2) : i + 3].lower()
+    def _decode(self, text: str, gap: str | None) -> str:
+        total, out = self.best(text, gap)
+        return text if gap is None and total >= self.as_it_stands(text) else out
+
+    def best(self, text: str, gap: str | None = None) -> tuple[float, str]:
+        """The least cost of a way through a stretch's lattice, and what it writes; of equal ways the one found first.
+
+        Time and memory are linear in the stretch: a state is the two letters before and the last character written,
+        with its cost and a chain of what has been written, which states share.
+        """
+        cost = self.cost
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+        lowered = [ch.lower() for ch in text]
+        for i, ch in enumerate(text):
+            nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
+
+            def reach(key, total, out, nxt=nxt):
+                old = nxt.get(key)
+                if old is None or old[0] > total:
+                    nxt[key] = total, out
+
+            if i and ch == gap:
+                wide = gap in (text[i - 1], text[i + 1 : i + 2])
+                for (a, b, last), (total, out) in states.items():  # of several gaps in a row, the first ends a word
+                    if not wide or text[i - 1] == gap:
+                        reach((a, b, last), total, out)
+                    if text[i - 1] != gap:
+                        reach((b, 0, ""), total + cost[a][b][0] + (0 if wide else GAP), (out, " "))
+                states = nxt
+                continue
+            if ch in LEET:
+                options = [(x, ord(x) - 96, SIGN) for x in LEET[ch]]
+            else:
+                first = ord(lowered[i][0])
+                options = [(lowered[i], int(LETTER[first]) if first < 0x180 else 0, 0.0)]
+            stray = ch in LEET and not ch.isdigit()
+            run = lowered[i] * 3 in "".join(lowered[max(0, i - 2) : i + 3])
+            for (a, b, last), (total, out) in states.items():
+                if stray:
+                    reach((a, b, last), total + STRAY, out)
                 for x, c, more in options:
-                    reach((b, c, x), cost + more + self.cost[a][b][c], out + x)
-                    if x == last and c and run:
-                        reach((a, b, last), cost + more + REPEAT, out)
+                    reach((b, c, x), total + more + cost[a][b][c], (out, x))
+                    if run and c and x == last:
+                        reach((a, b, last), total + more + REPEAT, out)
             states = nxt
-            i += 1
-        best = min(((cost + self.cost[a][b][0], out) for (a, b, _), (cost, out) in states.items()), default=(math.inf, text))
-        if not spaced and best[0] >= self._as_it_stands(text):
-            return text
-        return best[1]
-
-    def _in_parts(self, text: str) -> str:
-        gap, out = text[1], []
-        while len(text) > LONGEST:
-            at = text.rfind(gap * 2, 0, LONGEST)
-            at = at if at > 0 else text.rfind(gap, 0, LONGEST)
-            out += [self._decode(text[:at]), " "]
-            text = text[at:].lstrip(gap)
-        return "".join([*out, self._decode(text)])
+        total, chain = min(((total + cost[a][b][0], out) for (a, b, _), (total, out) in states.items()), key=lambda x: x[0])
+        letters = []
+        while chain is not None:
+            chain, x = chain
+            letters.append(x)
+        return total, "".join(reversed(letters))
 
     def restore(self, text: str) -> str:
         """The text with its suspicious stretches decoded."""
-        return SUSPICIOUS.sub(lambda m: self.decode(m[0]), text)
+        return SUSPICIOUS.sub(lambda m: self.decode(m[0], m[1]), text)
 
 
 def restore_batch(texts: list[str], decoder: Decoder) -> list[str]:
@@ -256,7 +282,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """All that scoring takes; it is sent to the executors and bounded by MOST_FEATURES and the trigrams' number."""
+    """All that scoring takes; it is sent to the executors and bounded by MOST_TRAINED and the trigrams' number."""
 
     counts: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
@@ -339,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     plog = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     surprise = plog(pos, all_ * p0) + plog(neg, all_ * (1 - p0))
     best = stats.select("f", "pos", weight.alias("weight"), surprise.alias("g")).where((pos >= LEAST_PURITY * all_) & (F.col("g") >= math.log(total + 1)))
-    found = {r.f: (r.pos, r.weight) for r in best.orderBy(F.desc("g"), "f").limit(MOST_FEATURES).collect()}
+    found = {r.f: (r.pos, r.weight) for r in best.collect()}
     model.weights = {f: w for f, (_, w) in most_specific(found).items()}
 
     weights = _Weights(model.weights)
