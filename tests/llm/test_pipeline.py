@@ -20,8 +20,7 @@ def test_pipeline(spark, sf):
     good = {r[0] for r in test_quality.brute([r[:3] for r in rows]) if r[-1]}
     cleaned = test_line_dedup.brute([(d, s, t) for d, t, _, s in rows if d in good], line_dedup.RATIO, line_dedup.LEAST_PAGES, line_dedup.LEAST_HOST)
     texts = [(r[0], r[2]) for r in cleaned]
-    first = {d for d, _, c in test_simhash.brute(texts) if d == c}
-    kept = [(d, t) for d, t in texts if d in first]
+    kept = test_simhash.brute_kept(texts)
     assert 0 < len(kept) < len(texts) < docs.count()
     test_packing.verify(kept, corpus_pipeline.run(spark, sf).collect())
 

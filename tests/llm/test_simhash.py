@@ -60,8 +60,18 @@ def test_edge_cases(spark):
     assert result(simhash.near_duplicates(df)) == brute(rows)
     empty = simhash.near_duplicates(df.limit(0))
     assert empty.columns == ["doc_id", "fingerprint", "component_id"] and empty.count() == 0
+
+
+def test_deduplicate_edge_cases(spark):
+    """Rows without an id and rows of one id, with texts of their own and without; empty texts; clashing names."""
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(5, None), (3, ""), (9, " \t\n"), (1, "one two"), (2, "ONE\x0btwo "), (7, "É one two three four"), (None, "one two"), (7, "a text that has nothing in common"), (4, long), (6, long + " end"), (4, long)]
+    rows += [(None, "a lonely text without any id at all"), (None, "another lonely text that has no id"), (None, "another lonely text that has no id"), (8, "x" * 50_000), (5, "x y z")]
+    df = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in rows], SCHEMA + ", _near_id int")
     kept = simhash.deduplicate(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute(rows)})
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(brute_kept(rows), key=repr)
+    assert simhash.deduplicate(df.limit(0)).count() == 0
 
 
 def test_links_connect_what_all_pairs_connect(spark):
@@ -109,15 +119,22 @@ def test_majority_over_chunks(monkeypatch):
         assert int(got[k]) == want
 
 
-def brute_kept(rows: list[tuple[int, str]]) -> list[int]:
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for _, t in rows)]
+def brute_kept(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
+    """Of each component of pairs at a similarity of 0.8 over five-word shingles, the row with the smallest id."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} - {""}
+
+    sets = [shingles(t) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
             if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
-    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+    first = lambda r: (r[0] is None, r[0] or 0, -1 if r[1] is None else xxhash.xxh64(r[1].encode(), seed=42).intdigest())
+    return [min((rows[i] for i in range(len(rows)) if group[i] == g), key=first) for g in set(group)]
 
 
 def test_deduplicate_matches_brute_force_jaccard(spark, monkeypatch):
@@ -133,9 +150,20 @@ def test_deduplicate_matches_brute_force_jaccard(spark, monkeypatch):
             rows.append((len(rows), " ".join(w) + (f" {shared}" if k % 2 else "")))
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_kept(rows)
+    want = sorted(d for d, _ in brute_kept(rows))
     assert 12 < len(want) < len(rows)
     assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == want
     near_copies = simhash.jaccard.near_copies
     monkeypatch.setattr(simhash.jaccard, "near_copies", lambda *args: near_copies(*args, full=2))
     assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == want
+
+
+def test_sketches_rule_nothing_alike_out():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        base = rng.integers(-(2**63), 2**63, rng.integers(1, 700))
+        x = np.unique(base[: rng.integers(1, len(base) + 1)])
+        y = np.unique(np.concatenate([base[rng.integers(0, len(base)) :], rng.integers(-(2**63), 2**63, rng.integers(0, 50))]))
+        apart = len(np.setxor1d(x, y))
+        for places in (0, 512):
+            assert simhash.jaccard.differing(simhash.jaccard.sketch(x, places), simhash.jaccard.sketch(y, places)) <= apart

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..session import cut, small_batches
 from . import jaccard
-from .common import hex64, lower_ascii, words
+from .common import hex64, shingles
 
 MAX_BITS = 4
 BLOCKS = 7
@@ -56,25 +56,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority(hashes, ends).view(np.int64))], names=["doc_id", "fp"])
 
 
-def shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, h array<long>) of every row: the hashes of its shingles, as `fingerprints` tells."""
-    small_batches(docs.sparkSession)
-    w, i = F.col("w"), F.col("n") - width
-    runs = F.transform(F.sequence(F.lit(0), i), lambda k: F.xxhash64(F.concat_ws(" ", *[F.get(w, k + j) for j in range(width)])))
-    return (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), words(lower_ascii(F.col(text_col))).alias("w"))
-        .withColumn("n", F.size("w"))
-        .select("doc_id", F.when(F.col("n") == 0, F.array().cast("array<bigint>")).when(i < 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(runs).alias("h"))
-    )
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) of every row.
 
     Shingles of `width` words of the text with A-Z lowered, repeats included, are hashed by Spark with XXH64 (seed 42);
     a text of fewer words is one shingle. Null, empty and blank texts have the fingerprint 0. Repeated rows stay.
     """
-    listed = shingles(docs, id_col, text_col, width)
+    small_batches(docs.sparkSession)
+    listed = shingles(docs, [F.col(id_col).cast("long").alias("doc_id")], F.col(text_col), width)
     return listed.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
@@ -189,12 +178,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = jaccard.LIKENESS) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with the smallest id stays, once.
+    """The rows of docs without near copies: of each component one row stays, the one with the smallest id.
 
-    Texts are near copies if the Jaccard similarity of their shingles of `width` words is `likeness` or more, exactly.
-    Rows with a null id can't be told apart and stay only where their component has no other row.
+    Texts are near copies if the Jaccard similarity of their shingles of `width` words is `likeness` or more, exactly; a
+    component is what a chain of such pairs connects. Rows without an id come last. Rows of one id are told apart by
+    their texts, so none with a text of its own is lost, and of repeated rows one stays. An empty table gives an empty
+    one; other columns, whatever their names, are carried along.
     """
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // jaccard.SAMPLE))) == 0)
-    found = jaccard.near_copies(shingles(docs, id_col, text_col, width), shingles(sample, id_col, text_col, width), likeness)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    found = jaccard.near_copies(docs, F.col(id_col).cast("long"), F.col(text_col), width, likeness)
+    counted = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))  # combined before the shuffle
+    kept = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("r")).select("r.doc_id", "r.th", "r.n")
+    kept = cut(kept.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), (F.col("n") > 1).alias("_kept_more")))
+    named = docs.withColumns({"_near_id": F.col(id_col).cast("long"), "_near_th": F.xxhash64(F.col(text_col))})
+    same = F.col("_near_id").eqNullSafe(F.col("_kept_id")) & (F.col("_near_th") == F.col("_kept_th"))
+    rows = named.join(kept.where("not _kept_more"), same, "left_semi").select(*docs.columns)
+    more = kept.where("_kept_more")
+    if more.take(1):  # only rows that are repeated whole are gathered, and combined before the shuffle
+        again = named.join(more, same, "left_semi").dropDuplicates(["_near_id", "_near_th"]).select(*docs.columns)
+        rows = rows.union(again)
+    return rows
