@@ -133,7 +133,11 @@ def brute_kept(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | No
             if 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
-    first = lambda r: (r[0] is None, r[0] or 0, -1 if r[1] is None else xxhash.xxh64(r[1].encode(), seed=42).intdigest())
+
+    def first(r):
+        h = 42 if r[1] is None else xxhash.xxh64(r[1].encode(), seed=42).intdigest()
+        return r[0] is None, r[0] or 0, h - (1 << 64) if h >> 63 else h
+
     return [min((rows[i] for i in range(len(rows)) if group[i] == g), key=first) for g in set(group)]
 
 

@@ -9,7 +9,7 @@ yields a spanning forest of its links instead of all of its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ SHINGLE = 4
 WIDTH = 5
 #: Fingerprints under one key that a task compares; more than these are linked through midpoints instead.
 MOST_UNDER_KEY = 65_536
+#: The share of fingerprints, one in so many, by which keys are told that may be too full.
+SPARSE = 64
 #: Parts that a component's fingerprints are dealt to when they learn its smallest id.
 SALTS = 16
 _CHUNK = 1 << 17
@@ -115,22 +117,21 @@ def _links(max_bits: int, most: int, step: int = 8):
                 yield a, b, np.zeros(len(a), np.int8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty((0, 2), np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = [np.asarray(c) for c in batch.columns]
-            keys = np.concatenate([keys, np.stack([got[0].astype(np.int64), got[1]], axis=1)])
-            fps = np.concatenate([fps, got[2]])
-            whole = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            if len(whole) and len(fps) > 50_000:
-                n = whole[-1] + 1  # the last key may go on in the next batch
-                for a, b, hot in close(keys[:n], fps[:n]):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hot)], names=["a", "b", "hot"])
-                keys, fps = keys[n:], fps[n:]
-        if len(fps):
-            for a, b, hot in close(keys, fps):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hot)], names=["a", "b", "hot"])
+        held, size, enough = [], 0, 50_000
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                pos, key, fp = (np.asarray(c) for c in batch.columns)
+                held.append((np.stack([pos.astype(np.int64), key], axis=1), fp))
+                size += len(fp)
+            if size and (batch is None or size > enough):
+                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = np.flatnonzero((keys != keys[-1]).any(axis=1))
+                n = size if batch is None else whole[-1] + 1 if len(whole) else 0  # the last key may go on in the next batch
+                if n:
+                    for a, b, hot in close(keys[:n], fps[:n]):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hot)], names=["a", "b", "hot"])
+                held, size = [(keys[n:], fps[n:])], size - n
+                enough = max(50_000, 2 * size)  # so that a long key is put together a few times only
 
     return run
 
@@ -153,9 +154,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, most:
     """Edges (a, b) that connect just those of the distinct fingerprints `fp` that a chain of links connects."""
     masks = F.array(*[F.lit(m) for m in block_masks(blocks, max_bits)])
     keyed = fps.select("fp", F.posexplode(masks)).select(F.col("pos").cast("short").alias("pos"), F.col("fp").bitwiseAND(F.col("col")).alias("key"), "fp")
-    found = cut(keyed.repartition("pos", "key").sortWithinPartitions("pos", "key").mapInArrow(_links(max_bits, most), "a long, b long, hot byte"))
-    hot = found.where("hot = 1").select(F.col("a").alias("fp")).distinct()
-    return found.where("hot = 0").select("a", "b").union(_through_midpoints(hot, max_bits)) if hot.take(1) else found.select("a", "b")
+    # Full keys are told by a sample and never gathered; one that the sample misses is told where it is met. Either way the
+    # links are the same, as those through midpoints are exact.
+    some = keyed.where(F.pmod(F.xxhash64("fp"), F.lit(SPARSE)) == 0).groupBy("pos", "key").agg(F.count("*").alias("n"))
+    crowded = cut(some.where(F.col("n") * SPARSE > most).select("pos", "key"))
+    any_crowded = bool(crowded.take(1))
+    rest = keyed.join(crowded, ["pos", "key"], "left_anti") if any_crowded else keyed
+    found = cut(rest.repartition("pos", "key").sortWithinPartitions("pos", "key").mapInArrow(_links(max_bits, most), "a long, b long, hot byte"))
+    hot = found.where("hot = 1").select(F.col("a").alias("fp"))
+    if any_crowded:
+        hot = hot.union(keyed.join(crowded, ["pos", "key"], "left_semi").select("fp"))
+    elif not hot.take(1):
+        return found.select("a", "b")
+    return found.where("hot = 0").select("a", "b").union(_through_midpoints(hot.distinct(), max_bits))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
