@@ -1,26 +1,33 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page scores its containers and votes for the path of the best one: tags with their classes, digits left out. Spark
-adds up the votes by host. Then each page is read again and yields the blocks under its host's winning paths; a page
-that has none of them yields the blocks of its own best container.
+Each page is read once, into blocks of text with their paths: tags with their classes, digits left out. It scores its
+containers and votes for the path of the best one, and names the paths that might be furniture, by one word of a class.
+Spark adds both up by host. A page's text is then its blocks under any of the host's winning paths, without what recurs
+as furniture on the host; where these hold little of the page's own best container, that container's blocks as well.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, small_batches
 
-#: A path that gets this share of a host's votes wins, so a host has ten winning paths at most.
-LEAST_SHARE = 0.1
-#: Winning paths are broadcast up to so many hosts; beyond, the pages are joined to them by shuffle.
-MOST_BROADCAST = 20_000
+#: A path that gets this share of a host's votes wins, so a host has ten winning paths at most; a path that might be
+#: furniture is, if so many pages and this share of them have it.
+LEAST_SHARE, LEAST_PAGES = 0.1, 2
+#: The share of its best container's text that a page must have under the winning paths to go by them alone.
+HELD = 0.5
+#: Winning paths are broadcast up to so many characters; beyond, the pages are joined to them by shuffle.
+MOST_BROADCAST = 20_000_000
+#: Steps of a path, classes of a step and characters of a class that tell paths apart; texts are never cut.
+STEPS, CLASSES, CLASS_CHARS = 64, 8, 64
 #: Blocks of fewer characters, menu items for instance, say little about a container: a quarter of their length.
 TELLING = 25
 
@@ -31,12 +38,13 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe object svg math canvas video audio textarea title xmp".split())
+RAW = frozenset("script style template noscript iframe svg canvas video audio textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+OPEN_TEXT = HEADING | {"p"}
 CONTAINER = frozenset("article body div main section td".split())
 #: What ends an open element of the same group where its end tag is left out.
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,42 +57,61 @@ NOT_MAIN_WORD = frozenset(
     "signup login search form hidden skip paywall pagination pager response responses thread toc announcement disclaimer warning adsense adslot adunit teaser teasers".split()
 )
 HEADER_WORD = frozenset("header heading".split())
+#: Words that say nothing beside one of the above: a class of these and those only is furniture wherever it stands.
+PLAIN_WORD = frozenset(
+    "site page post article entry content main top bottom left right center side inner outer bar box block list item items link links slot unit zone area "
+    "section wrap wrapper container holder panel region row col column group set text user users reader readers blog global primary secondary sticky fixed "
+    "small large mobile desktop js id new more all our the by".split()
+)
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "off", "heads", "score", "size")
+    """off: no main text; doubt: the path of the outermost element that might be furniture; heads: only headings are text."""
+
+    __slots__ = ("tag", "parent", "path", "depth", "off", "doubt", "heads", "heading", "score")
+
+    def __init__(self, tag: str, parent: Element | None, path: str, depth: int, off: bool, doubt: str | None, heads: bool):
+        self.tag, self.parent, self.path, self.depth, self.off, self.doubt, self.heads = tag, parent, path, depth, off, doubt, heads
+        self.heading = tag in HEADING or (parent is not None and parent.heading)
+        self.score = 0.0
 
-    def __init__(self, tag: str, parent: Element | None, path: str, off: bool, heads: bool):
-        self.tag, self.parent, self.path, self.off, self.heads = tag, parent, path, off, heads
-        self.score, self.size = 0.0, 0
 
+def _class_parts(of: dict[str, str]) -> Iterator[list[str]]:
+    for name in f"{of.get('class', '')} {of.get('id', '')}".split():
+        parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+        if parts and parts[0] not in ("no", "has", "with", "without"):
+            yield parts
 
-def _off(tag: str, of: dict[str, str]) -> tuple[bool, bool]:
-    """Whether an element isn't main text, and whether of it only headings are."""
+
+def judge(tag: str, of: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Whether an element isn't main text, whether it might not be, and whether of it only headings are."""
     if tag in NOT_MAIN or of.get("role", "").lower() in NOT_MAIN_ROLE or "hidden" in of or of.get("aria-hidden") == "true":
-        return True, False
+        return True, False, False
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I):
-        return True, False
-    heads = tag == "header"
-    if tag not in ("html", "body", "main", "article"):
-        for name in f"{of.get('class', '')} {of.get('id', '')}".split():
-            parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)
-            parts = [p.lower() for p in parts]
-            if not parts or parts[0] in ("no", "has", "with", "without"):
-                continue
-            if parts[0] in NOT_MAIN_WORD or parts[-1] in NOT_MAIN_WORD:
-                return True, False
+        return True, False, False
+    if tag == "article":
+        return bool(re.search(r"\bcomment|\brelated\b|\bteaser\b", of.get("class", ""), re.I)), False, False
+    off, doubt, heads = False, False, tag == "header"
+    if tag not in ("html", "body", "main"):
+        for parts in _class_parts(of):
+            if any(p in NOT_MAIN_WORD for p in parts) and all(p in NOT_MAIN_WORD or p in PLAIN_WORD for p in parts):
+                off = True
+            doubt |= parts[0] in NOT_MAIN_WORD or parts[-1] in NOT_MAIN_WORD
             heads |= parts[-1] in HEADER_WORD and tag not in HEADING
-    elif tag == "article" and re.search(r"\bcomment|\brelated\b|\bteaser\b", of.get("class", ""), re.I):
-        return True, False
-    return False, heads
+    return off, doubt and not off, heads
+
+
+def _step(tag: str, of: dict[str, str]) -> str:
+    names = sorted({re.sub(r"[\d>]+", "", c)[:CLASS_CHARS] for c in of.get("class", "").split()} - {""})[:CLASSES]
+    return ".".join([f">{tag}", *names])
 
 
 def blocks(html: str) -> list[tuple[str, Element, int]]:
     """The blocks of a page in order: text, innermost element, characters of it that are link text."""
-    root = Element("body", None, "", False, False)  # also the container of a page that names none
+    root = Element("body", None, "", 0, False, None, False)  # also the container of a page that names none
     stack, out, text, links = [root], [], [], 0
     holder = root
+    still = Counter()  # open elements of each tag, so that none is searched for that isn't there
 
     def flush() -> None:
         nonlocal links
@@ -96,6 +123,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
         links = 0
 
     def close(upto: int) -> None:
+        still.subtract(e.tag for e in stack[upto:])
         del stack[upto:]
 
     at, n, in_link = 0, len(html), 0
@@ -123,7 +151,7 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if still[tag] else 0
             if tag in BLOCK:
                 flush()
             if tag == "a":
@@ -139,10 +167,10 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
         if tag in BLOCK:
             flush()
             if tag not in ("html", "body", "head"):
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("p", *HEADING)), 0)
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in OPEN_TEXT), 0) if any(still[t] for t in OPEN_TEXT) else 0
                 if k and not any(x.tag in ("td", "th", "div", "article", "section", "li") for x in stack[k + 1 :]) and (stack[k].tag == "p" or tag in HEADING):
                     close(k)
-            if tag in SIBLING:
+            if tag in SIBLING and any(still[t] for t in SIBLING[tag]):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in SIBLING[tag]:
                         close(i)
@@ -163,16 +191,13 @@ def blocks(html: str) -> list[tuple[str, Element, int]]:
         if m[3].strip():
             for a in ATTRIBUTE.finditer(m[3]):
                 of.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
-        off, heads = _off(tag, of)
+        off, doubt, heads = judge(tag, of)
         up = stack[-1]
-        if tag in BLOCK:
-            names = ".".join(sorted(re.sub(r"\d+", "", c) for c in of.get("class", "").split()))
-            path = f"{up.path}>{tag}" + (f".{names}" if names else "")
-        else:
-            path = up.path
+        path, depth = (up.path + _step(tag, of), up.depth + 1) if tag in BLOCK and up.depth < STEPS else (up.path, up.depth)
         if tag == "a":
             in_link += 1
-        stack.append(Element(tag, up, path, up.off or off, up.heads or heads))
+        stack.append(Element(tag, up, path, depth, up.off or off, up.doubt or (path if doubt else None), up.heads or heads))
+        still[tag] += 1
     flush()
     return out
 
@@ -183,22 +208,15 @@ def _container(e: Element) -> Element | None:
     return e
 
 
-def _kept(block: tuple[str, Element, int]) -> bool:
-    e = block[1]
-    if e.off:
-        return False
-    if e.heads:
-        while e is not None and e.tag not in HEADING:
-            e = e.parent
-        return e is not None
-    return True
+def _kept(e: Element) -> bool:
+    return not e.off and (e.heading or not e.heads)
 
 
 def best_container(found: list[tuple[str, Element, int]]) -> Element | None:
     """The container with the most text that isn't links, its own or, at half weight, one level down."""
     seen: dict[int, Element] = {}
     for text, e, links in found:
-        if e.off or e.heads:
+        if e.off or e.doubt is not None or e.heads:
             continue
         weight, share = len(text) * max(0.0, 1 - links / len(text)) * (1 if len(text) >= TELLING else 0.25), 1.0
         c = _container(e)
@@ -218,60 +236,69 @@ def best_container(found: list[tuple[str, Element, int]]) -> Element | None:
     return best
 
 
-def _inside(e: Element | None, paths: set[str]) -> str | None:
-    """The path of the innermost element, itself or an ancestor, that is one of the paths."""
-    while e is not None:
-        if e.tag in CONTAINER and e.path in paths:
-            return e.path
-        e = e.parent
-    return None
-
-
-def main_text(html: str, paths: list[str]) -> str:
-    """The main text of a page: its blocks under whichever of the paths has most text, or else its best container."""
-    found = [b for b in blocks(html)]
-    by: dict[str, list[str]] = {}
-    wanted = set(paths)
-    for b in found:
-        if _kept(b) and (p := _inside(b[1], wanted)) is not None:
-            by.setdefault(p, []).append(b[0])
-    if by:
-        return "\n\n".join(max(by.values(), key=lambda x: sum(map(len, x))))
+PAGE = "page_id long, url string, host string, vote string, doubts array<string>, blocks array<struct<text:string,path:string,doubt:string,own:boolean>>"
+
+
+def read_page(html: str) -> tuple[str | None, list[str], list[dict]]:
+    """A page's vote, the paths that might be furniture, and its blocks that may be text: own tells those in its best container."""
+    found = blocks(html)
     best = best_container(found)
-    out = []
-    for b in found:
-        e = b[1]
-        while e is not None and e is not best:
+    inside: dict[int, bool] = {}
+
+    def own(e: Element | None) -> bool:
+        chain = []
+        while e is not None and e is not best and id(e) not in inside:
+            chain.append(e)
             e = e.parent
-        if best is not None and e is best and _kept(b):
-            out.append(b[0])
-    return "\n\n".join(out)
+        got = e is not None and (e is best or inside[id(e)])
+        inside.update((id(x), got) for x in chain)
+        return got
 
+    out = [{"text": t, "path": e.path, "doubt": e.doubt, "own": own(e)} for t, e, _ in found if _kept(e)]
+    return best.path if best is not None else None, sorted({e.doubt for _, e, _ in found if e.doubt is not None}), out
 
-def _vote_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths = []
-        for x in batch.column(1):
-            best = best_container(blocks(x.as_py() or ""))
-            paths.append(best.path if best is not None else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
-
-def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = pa.struct([("text", pa.string()), ("path", pa.string()), ("doubt", pa.string()), ("own", pa.bool_())])
     for batch in batches:
-        texts = [main_text(h.as_py() or "", p.as_py() or []) for h, p in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        pages = [read_page(x.as_py() or "") for x in batch.column(3)]
+        votes, doubts, found = zip(*pages, strict=True) if pages else ((), (), ())
+        columns = [pa.array(votes, pa.string()), pa.array(doubts, pa.list_(pa.string())), pa.array(found, pa.list_(block))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["page_id", "url", "host", "vote", "doubts", "blocks"])
 
 
-def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_SHARE) -> DataFrame:
-    """(host, paths): the paths that won at least the share `least` of a host's votes, most votes first."""
+def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """What `read_page` tells of every page, with its id, URL and host."""
     small_batches(pages.sparkSession)
-    votes = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_vote_batches, "host string, path string")
-    counted = cut(votes.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n")))
-    total = counted.groupBy("host").agg(F.sum("n").alias("total"))
-    won = counted.join(total, "host").where(F.col("n") >= F.col("total") * least)
-    ranked = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))).alias("r"))
-    return ranked.select("host", F.transform("r", lambda x: x["path"]).alias("paths"))
+    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    return named.mapInArrow(_page_batches, PAGE)
+
+
+def consensus(read: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """(host, paths, furniture): the paths that won at least the share `least` of a host's votes, and those that might be
+    furniture and stand on as large a share of its pages, two at least."""
+    said = read.select("host", F.explode(F.concat(F.array(F.struct(F.lit("page").alias("kind"), F.lit("").alias("path"))), F.transform("doubts", lambda d: F.struct(F.lit("doubt").alias("kind"), d.alias("path"))), F.when(F.col("vote").isNotNull(), F.array(F.struct(F.lit("vote").alias("kind"), F.col("vote").alias("path")))).otherwise(F.array().cast("array<struct<kind:string,path:string>>")))).alias("x"))
+    counted = cut(said.groupBy("host", "x.kind", "x.path").agg(F.count("*").alias("n")))
+    kind = F.col("kind")
+    total = counted.groupBy("host").agg(F.sum(F.when(kind == "page", F.col("n"))).alias("pages"), F.sum(F.when(kind == "vote", F.col("n"))).alias("votes"))
+    won = (kind == "vote") & (F.col("n") >= F.col("votes") * least)
+    stale = (kind == "doubt") & (F.col("n") >= F.col("pages") * least) & (F.col("n") >= LEAST_PAGES)
+    held = counted.join(total, "host").where(won | stale)
+    listed = lambda k: F.sort_array(F.collect_list(F.when(kind == k, F.col("path"))))
+    return held.groupBy("host").agg(listed("vote").alias("paths"), listed("doubt").alias("furniture"))
+
+
+def chosen_text(blocks: Column, paths: Column, furniture: Column) -> Column:
+    """The text of a page's blocks: those under a winning path, and the page's own where these are few; without furniture."""
+    kept = F.filter(blocks, lambda b: b["doubt"].isNull() | ~F.array_contains(furniture, F.coalesce(b["doubt"], F.lit(""))))
+    marked = F.transform(kept, lambda b: F.struct(b["text"].alias("text"), b["own"].alias("own"), F.exists(paths, lambda p: F.startswith(F.concat(b["path"], F.lit(">")), F.concat(p, F.lit(">")))).alias("won")))
+    chars = lambda bs, which: F.aggregate(bs, F.lit(0).cast("long"), lambda n, b: n + F.when(b[which], F.length(b["text"])).otherwise(0))
+
+    def choose(bs: Column) -> Column:
+        enough = chars(bs, "won") >= F.lit(HELD) * chars(bs, "own")
+        return F.array_join(F.transform(F.filter(bs, lambda b: b["won"] | (b["own"] & ~enough)), lambda b: b["text"]), "\n\n")
+
+    return F.element_at(F.transform(F.array(marked), choose), 1)  # an array of one, so that it is worked out once
 
 
 def host_of(url):
@@ -283,13 +310,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars) of every page, from its whole html.
 
     Null and empty html, and pages without main text, give an empty text. A null or broken URL belongs to the host "".
-    Repeated rows and null ids stay; other columns aren't read.
+    Paths with as many votes win alike. Repeated rows and null ids stay; other columns aren't read. An empty table gives
+    an empty one. What pages are read into, their texts mostly, is written to the shared folder, so they are read once.
     """
-    won = cut(winning_paths(pages, url_col, html_col))
-    known = won.select(F.col("host").alias("_host"), "paths")
-    if won.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
-    read = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
-    read = read.join(known, "_host", "left").select("page_id", "url", "html", "paths")
-    out = read.mapInArrow(_text_batches, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    read = cut(read_pages(pages, id_col, url_col, html_col))
+    won = cut(consensus(read))
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+    size = won.agg(F.coalesce(F.sum(F.length("host") + chars("paths") + chars("furniture") + 16), F.lit(0))).first()[0]
+    joined = read.join(F.broadcast(won) if size <= MOST_BROADCAST else won, "host", "left")
+    none = F.array().cast("array<string>")
+    text = chosen_text(F.col("blocks"), F.coalesce("paths", none), F.coalesce("furniture", none))
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
