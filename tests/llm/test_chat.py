@@ -45,6 +45,8 @@ def test_hostile_texts(spark):
     rows += [(3, 1, None, "a"), (3, None, "assistant", "b"), (3, 1, None, "a"), (None, 0, "as<|body|>sistant", None), (4, 0, "assistant", "only")]
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
     assert read(df) == brute(rows)
+    tied = [(6, 0, "user", "<z", "x"), (6, 0, "user", "<|end|>", "x"), (6, 0, "user", "[INST]", "x"), (6, 0, "user", "[\\z", "x"), (6, 0, "user", None, "x"), (6, 0, "user", "", "x")]
+    assert read(spark.createDataFrame(tied, SCHEMA)) == brute(tied)
     shown = chat.format_conversations(df).where("conv_id = 2").first()
     assert shown.formatted.count("<|") == 3 * len(nasty) and "[INST]" not in shown.formatted and "</s>" not in shown.formatted
     assert read(df.limit(0)) == {}

@@ -75,21 +75,23 @@ def flatten_parts(parts: Column) -> Column:
 def text_part(text: Column) -> Column:
     """An array of one text part."""
     null = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), null.alias("ref"), null.alias("width"), null.alias("height"), null.alias("seconds"), null.alias("pages")).cast(PART))
+    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), null.alias("ref"), null.alias("width"), null.alias("height"), null.alias("seconds"), null.alias("pages")).cast(PART))
 
 
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: Column | None = None) -> DataFrame:
     """(conv_id, formatted, loss_spans, attachments) of each conversation.
 
-    rows: a row per turn. parts: a column of typed parts; by default the column `text` as one text part. Turns are
-    ordered by turn (nulls first), then role and text, so ties and repeated rows have one order and all stay. A null
+    rows: a row per turn. parts: a column of typed parts; by default the column `text` as one text part, a null text being
+    empty. Turns are ordered by turn (nulls first), then role and parts as they are given, byte by byte, so ties and
+    repeated rows have one order and all stay. A null
     role is empty. Rows with a null conv_id make up one conversation. loss_spans: the places (from 1) and lengths, in
     code points, of the assistant's texts in `formatted`. A conversation's turns meet in one row, as its text has to.
     """
-    flat = flatten_parts(parts if parts is not None else text_part(F.col("text")))
-    one = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), flat.alias("flat"))
-    one = one.select("conv_id", F.struct("turn", "role", F.col("flat.text").alias("text"), F.col("flat.attachments").alias("attachments")).alias("t"))
-    all_turns = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    given = parts if parts is not None else text_part(F.col("text"))
+    one = rows.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), given.alias("parts")).alias("t"))
+    grouped = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("said"))
+    flat = grouped.select("conv_id", "said", F.transform("said", lambda t: flatten_parts(t["parts"])).alias("flat"))
+    all_turns = flat.select("conv_id", F.zip_with("said", "flat", lambda t, f: F.struct(t["role"].alias("role"), f["text"].alias("text"), f["attachments"].alias("attachments"))).alias("turns"))
     head = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY))
     shown = F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END)))
     lengths = all_turns.select("conv_id", "turns", F.concat_ws("", shown).alias("formatted"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(head(t)).alias("head"), F.length(t["text"]).alias("n"))).alias("sizes"))
