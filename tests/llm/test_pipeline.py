@@ -18,7 +18,7 @@ def test_pipeline(spark, sf):
     toxic = {r.doc_id for r in toxicity.assess(docs, table(spark, sf, "labels")).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect() if r.doc_id not in toxic]
     good = {r[0] for r in test_quality.brute([r[:3] for r in rows]) if r[-1]}
-    cleaned = test_line_dedup.brute([(d, s, t) for d, t, _, s in rows if d in good], line_dedup.RATIO, line_dedup.LEAST_PAGES, line_dedup.LEAST_HOST)
+    cleaned = test_line_dedup.brute([(d, s, t) for d, t, _, s in rows if d in good], line_dedup.RATIO, line_dedup.LEAST_PAGES)
     texts = [(r[0], r[2]) for r in cleaned]
     kept = test_simhash.brute_kept(texts)
     assert 0 < len(kept) < len(texts) < docs.count()

@@ -14,7 +14,7 @@ WITH pages AS (
 ), held AS (
     SELECT DISTINCT k, host, trim(line, {_SPACES}) AS line FROM (SELECT k, host, unnest(lines) AS line FROM pages)
 ), total AS (
-    SELECT host, count(*) AS pages FROM pages GROUP BY host HAVING count(*) >= {line_dedup.LEAST_HOST}
+    SELECT host, count(*) AS pages FROM pages GROUP BY host
 ), bad AS (
     SELECT held.host, held.line
     FROM held JOIN total USING (host)
