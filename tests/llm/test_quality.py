@@ -41,15 +41,15 @@ def shares(xs):
     return [x / max(sum(xs), 1) for x in xs]
 
 
-def divergence(p, q):
+def distance(p, q):
     h = lambda xs: sum(x * math.log2(x) for x in xs if x > 0)
-    return (h(p) + h(q)) / 2 - h([(a + b) / 2 for a, b in zip(p, q, strict=True)])
+    return math.sqrt(max(0.0, (h(p) + h(q)) / 2 - h([(a + b) / 2 for a, b in zip(p, q, strict=True)])))
 
 
 def brute(rows, rules=quality.Rules()):
     sums = {}
     for _, text, lang in rows:
-        if lang in rules.languages:
+        if lang in rules.languages and not base(text)[-1]:
             for k, xs in enumerate(histograms(text)):
                 old = sums.setdefault(lang, [None, None])
                 old[k] = xs if old[k] is None else [a + b for a, b in zip(old[k], xs, strict=True)]
@@ -60,9 +60,9 @@ def brute(rows, rules=quality.Rules()):
         far = False
         if known and b[0] >= rules.judged_words:
             c, w = map(shares, histograms(text))
-            _, x, y = min((divergence(c, p) + divergence(w, q), divergence(c, p), divergence(w, q)) for p, q in known)
+            _, x, y = min((distance(c, p) + distance(w, q), distance(c, p), distance(w, q)) for p, q in known)
             more = rules.allowance / b[0]
-            far = x > rules.most_chars + more or y > rules.most_words + more
+            far = x > math.sqrt(rules.most_chars**2 + more) or y > math.sqrt(rules.most_words**2 + more)
         out.append((d, *b, not b[5] and not far))
     return sorted(out, key=repr)
 

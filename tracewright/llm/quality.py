@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence. DataFrame functions only.
 
 A document's histogram of character classes and its histogram of common words are compared, by Jensen-Shannon distance,
-to those of each language, which are added up over all documents of the corpus. The nearest language decides. Short
-texts scatter more, so the limits have an allowance of a share over the number of words, and below a least number of
-words there is no verdict. Before that come plain rules on length and on repeated words.
+to those of each language, which are added up over all documents of the corpus that pass the plain rules on length and
+on repeated words. The nearest language, by the sum of both distances, decides. Short texts scatter more, so the squares
+of the limits have an allowance of a share over the number of words, and below a least number of words there is no
+verdict.
 """
 
 from __future__ import annotations
@@ -14,20 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, fresh_path
 from .common import SPACES, words
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Least words; most percent of words in repeated windows; least words, limits and allowance of the divergences."""
+    """Least words; most percent of words in repeated windows; least words, limits and allowance of the distances."""
 
     least_words: int = 10
     most_repeated: int = 20
     window: int = 5
     judged_words: int = 40
-    most_chars: float = 0.06
-    most_words: float = 0.07
+    most_chars: float = 0.245
+    most_words: float = 0.27
     allowance: float = 2.0
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
 
@@ -118,7 +119,7 @@ def repeated_words(window_hashes: Column, window: int) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[Column], text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The columns kept, and beside them _lang, the counts of the base rules, and the histograms _cc and _wc."""
+    """The columns kept, and beside them _lang, the counts of the base rules, base_failed, and the histograms _cc and _wc."""
     w, k = F.col("_w"), rules.window
     step = docs.select(*keep, F.col(lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     step = step.select("*", coded_chars(F.col("_t")).alias("_c0"), words(F.col("_t")).alias("_w"))
@@ -136,18 +137,20 @@ def measured(docs: DataFrame, keep: list[Column], text_col: str = "text", lang_c
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": repeated_words(F.col("_h"), k),
     }
-    return step.withColumns({c: of.cast("long") for c, of in counts.items()}).drop("_wl", "_lines", "_h", "_w", "_t", *[f"_c{i}" for i in range(len(CLASSES) + 1)])
+    step = step.withColumns({c: of.cast("long") for c, of in counts.items()})
+    step = step.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
+    return step.drop("_wl", "_lines", "_h", "_w", "_t", *[f"_c{i}" for i in range(len(CLASSES) + 1)])
 
 
 def references(of: DataFrame, rules: Rules = Rules()) -> list[tuple[list[float], list[float]]]:
-    """Each language's shares of character classes and of common words, over all of its documents, from their histograms.
+    """Each language's shares of character classes and of common words, over all of its documents that pass the base rules.
 
     The driver gets a row for each of rules.languages at most. Languages without any text have none.
     """
     n_c, n_w = len(CLASSES) + 2, N_COMMON + 1
     sums = [F.sum(F.col("_cc")[i]) for i in range(n_c)] + [F.sum(F.col("_wc")[i]) for i in range(n_w)]
     out = []
-    for r in sorted(of.select("_lang", "_cc", "_wc").where(F.col("_lang").isin(*rules.languages)).groupBy("_lang").agg(*sums).collect()):
+    for r in sorted(of.where(F.col("_lang").isin(*rules.languages) & ~F.col("base_failed")).select("_lang", "_cc", "_wc").groupBy("_lang").agg(*sums).collect()):
         c, w = list(r[1 : 1 + n_c]), list(r[1 + n_c :])
         if sum(c) and sum(w):
             out.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
@@ -162,35 +165,35 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
 
 
-def divergence(shares: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon divergence, 0 to 1, of an array of shares from a reference."""
+def distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance, 0 to 1, of an array of shares from a reference: the root of the divergence."""
     ref = F.array(*[F.lit(float(x)) for x in reference])
     middle = _sum(F.zip_with(shares, ref, lambda p, q: _plog((p + q) / 2)))
     own = sum(x * math.log2(x) for x in reference if x > 0)
-    return (_sum(F.transform(shares, _plog)) + own) / 2 - middle
+    return F.sqrt(F.greatest((_sum(F.transform(shares, _plog)) + own) / 2 - middle, F.lit(0.0)))
 
 
 def verdict(of: DataFrame, known: list[tuple[list[float], list[float]]], rules: Rules = Rules()) -> DataFrame:
-    """Adds to what measured() gives base_failed, char_divergence, word_divergence (null below rules.judged_words, or where
-    no language is known) and kept, in place of the histograms.
+    """Adds to what measured() gives char_distance, word_distance (null below rules.judged_words, or where no language is
+    known) and kept, in place of the histograms.
     """
-    step = of.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.most_repeated * F.col("n_words")))
     total = lambda c: F.greatest(F.aggregate(c, F.lit(0), lambda a, b: a + b), F.lit(1))
-    step = step.withColumns({"_cn": total("_cc"), "_wn": total("_wc")})
+    step = of.withColumns({"_cn": total("_cc"), "_wn": total("_wc")})
     step = step.withColumns({"_cs": F.transform("_cc", lambda x: x / F.col("_cn")), "_ws": F.transform("_wc", lambda x: x / F.col("_wn"))})
     if known:
-        both = [(divergence(F.col("_cs"), c), divergence(F.col("_ws"), q)) for c, q in known]
+        both = [(distance(F.col("_cs"), c), distance(F.col("_ws"), q)) for c, q in known]
         nearest = F.when(F.col("n_words") >= rules.judged_words, F.array_min(F.array(*[F.struct((c + w).alias("total"), c.alias("c"), w.alias("w")) for c, w in both])))
     else:
         nearest = F.lit(None).cast("struct<total:double,c:double,w:double>")
-    step = step.withColumn("_near", nearest).withColumns({"char_divergence": F.col("_near.c"), "word_divergence": F.col("_near.w")})
+    step = step.withColumn("_near", nearest).withColumns({"char_distance": F.col("_near.c"), "word_distance": F.col("_near.w")})
     more = F.lit(rules.allowance) / F.greatest("n_words", F.lit(1))
-    far = (F.col("char_divergence") > rules.most_chars + more) | (F.col("word_divergence") > rules.most_words + more)
+    limit = lambda most: F.sqrt(F.lit(most * most) + more)
+    far = (F.col("char_distance") > limit(rules.most_chars)) | (F.col("word_distance") > limit(rules.most_words))
     return step.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("_lang", "_cc", "_wc", "_cn", "_wn", "_cs", "_ws", "_near")
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The verdict on every document: doc_id, the counts, base_failed, the divergences, kept.
+    """The verdict on every document: doc_id, the counts, base_failed, the distances, kept.
 
     A null or empty text has no words and fails the base rules. A null or unknown language only keeps a text out of the
     references. Repeated rows and null ids stay; other columns aren't read. An empty table gives an empty one. What is
@@ -201,8 +204,14 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that are kept, with their columns as they are. Texts are read twice, and shuffled never."""
-    of = measured(docs, [F.struct("*").alias("_row")], text_col, lang_col, rules)
+    """The rows of docs that are kept, with their columns as they are.
+
+    Rows and what is measured of them are written to the shared folder, so that references and verdicts read it and each
+    text is measured once. Nothing is shuffled but a row a task and language.
+    """
+    path = fresh_path(docs.sparkSession, "measured")
+    measured(docs, [F.struct("*").alias("_row")], text_col, lang_col, rules).write.option("compression", "zstd").parquet(path)
+    of = docs.sparkSession.read.parquet(path)
     judged = verdict(of, references(of, rules), rules)
     # As a filter it would be pushed below the steps, and each of them written out as often as the next ones name it.
     return judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")).select("_row.*")

@@ -60,7 +60,7 @@ def _quality() -> str:
     n_c, n_w = len(classes) + 2, len(common) + 1
     count = ", ".join(f"len(list_filter(w, lambda x: x = '{c}'))" for c in common)
     plog = "list_sum(list_transform({x}, lambda v: CASE WHEN v > 0 THEN v * log2(v) ELSE 0 END))"
-    js = lambda own, ref, n: f"(({plog.format(x=own)}) + ({plog.format(x=ref)})) / 2 - ({plog.format(x=f'[({own}[i] + {ref}[i]) / 2 FOR i IN range(1, {n + 1})]')})"
+    js = lambda own, ref, n: f"sqrt(greatest(0, (({plog.format(x=own)}) + ({plog.format(x=ref)})) / 2 - ({plog.format(x=f'[({own}[i] + {ref}[i]) / 2 FOR i IN range(1, {n + 1})]')})))"
     share = lambda x: f"list_transform({x}, lambda v: v / greatest(list_sum({x}), 1))"
     langs = ", ".join(f"'{x}'" for x in rules.languages)
     k = rules.window
@@ -72,16 +72,6 @@ WITH docs AS (
     SELECT *, [{", ".join(classes)}] AS c, [{count}] AS q FROM docs
 ), hist AS (
     SELECT k, doc_id, lang, t, w, list_concat(c, [length(t) - list_sum(c), strlen(t) - length(t)]) AS c, list_concat([len(w) - list_sum(q)], q) AS q FROM counted
-), refs AS (
-    SELECT lang, {share('c')} AS rc, {share('q')} AS rq FROM (
-        SELECT lang, [{", ".join(f"sum(c[{i}])" for i in range(1, n_c + 1))}]::DOUBLE[] AS c, [{", ".join(f"sum(q[{i}])" for i in range(1, n_w + 1))}]::DOUBLE[] AS q FROM hist WHERE lang IN ({langs}) GROUP BY lang
-    ) WHERE list_sum(c) > 0 AND list_sum(q) > 0
-), shares AS (
-    SELECT k, {share('c::DOUBLE[]')} AS oc, {share('q::DOUBLE[]')} AS oq FROM hist WHERE len(w) >= {rules.judged_words}
-), each_lang AS (
-    SELECT k, {js('oc', 'rc', n_c)} AS jc, {js('oq', 'rq', n_w)} AS jq FROM shares, refs
-), nearest AS (
-    SELECT k, arg_min(jc, jc + jq) AS jc, arg_min(jq, jc + jq) AS jq FROM each_lang GROUP BY k
 ), windows AS (
     SELECT k, i, {window} AS win FROM (SELECT k, w, unnest(range(1, len(w) - {k - 2})) AS i FROM docs WHERE len(w) >= {k})
 ), twice AS (
@@ -89,14 +79,24 @@ WITH docs AS (
 ), covered AS (
     SELECT k, sum(n) AS n_repeat_words FROM (SELECT k, least({k}, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) - i, {k})) AS n FROM twice) GROUP BY k
 ), base AS (
-    SELECT hist.k, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, c[{quality.SYMBOLS + 1}]::BIGINT AS n_symbols,
+    SELECT hist.k, doc_id, lang, c, q, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, c[{quality.SYMBOLS + 1}]::BIGINT AS n_symbols,
            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\v\\f\\r]')) AS lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
     FROM hist LEFT JOIN covered ON covered.k = hist.k
 ), judged AS (
     SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.most_repeated} * n_words AS base_failed FROM base
+), refs AS (
+    SELECT lang, {share('c')} AS rc, {share('q')} AS rq FROM (
+        SELECT lang, [{", ".join(f"sum(c[{i}])" for i in range(1, n_c + 1))}]::DOUBLE[] AS c, [{", ".join(f"sum(q[{i}])" for i in range(1, n_w + 1))}]::DOUBLE[] AS q FROM judged WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang
+    ) WHERE list_sum(c) > 0 AND list_sum(q) > 0
+), shares AS (
+    SELECT k, {share('c::DOUBLE[]')} AS oc, {share('q::DOUBLE[]')} AS oq FROM hist WHERE len(w) >= {rules.judged_words}
+), each_lang AS (
+    SELECT k, {js('oc', 'rc', n_c)} AS jc, {js('oq', 'rq', n_w)} AS jq FROM shares, refs
+), nearest AS (
+    SELECT k, arg_min(jc, jc + jq) AS jc, arg_min(jq, jc + jq) AS jq FROM each_lang GROUP BY k
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(jc > {rules.most_chars} + {rules.allowance} / greatest(n_words, 1) OR jq > {rules.most_words} + {rules.allowance} / greatest(n_words, 1), false) AS kept
+       NOT base_failed AND NOT coalesce(jc > sqrt({rules.most_chars**2} + {rules.allowance} / greatest(n_words, 1)) OR jq > sqrt({rules.most_words**2} + {rules.allowance} / greatest(n_words, 1)), false) AS kept
 FROM judged LEFT JOIN nearest ON nearest.k = judged.k
 """
 
