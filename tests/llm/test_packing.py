@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -97,3 +98,23 @@ def test_edge_cases(spark):
     df = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, start int")
     verify(texts, packing.pack(df, PATH).collect())
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_padding_does_not_depend_on_the_split(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    for parts in (1, 8, 64):
+        tokens, n = verify(texts, packing.pack(docs.repartition(parts), PATH).collect())
+        assert n * packing.CAPACITY < tokens * 1.02
+
+
+def test_other_vocabularies_encode_whole(tmp_path):
+    """A file that cuts words in another way isn't taken for one that this knows."""
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].pop()  # no lower-casing
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    text = "Some Words and OTHERS, 12"
+    assert packing.known(PATH) and not packing.known(other)
+    assert packing.token_ids([text], other, 2)[0].tolist() == [*Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids, 2]

@@ -1,7 +1,8 @@
 """Packing into windows by Karmarkar-Karp multiway differencing.
 
 Documents are cut into pieces, and the pieces of a stretch of the corpus, about half a million tokens, are dealt to as many
-windows as their tokens need. Differencing starts from one partial partition for each piece. Again and again it takes
+windows as their tokens need. What is left over when a task has no whole stretch any more is pooled, and packed in
+stretches too, so padding doesn't depend on how the corpus is split. Differencing starts from one partial partition for each piece. Again and again it takes
 the two with the largest imbalance and merges them with opposing imbalances, the fullest window of one with the
 emptiest of the other, until one partition is left. If a window then exceeds the capacity, one more window is tried.
 """
@@ -9,6 +10,7 @@ emptiest of the other, until one partition is left. If a window then exceeds the
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import struct
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from ..session import cut, small_batches
 from .bpe import byte_letters
 
 CAPACITY, END_ID = 4096, 2
@@ -30,7 +32,12 @@ CAPACITY, END_ID = 4096, 2
 STRETCH, PIECE = 1 << 19, 1024
 #: What makes a text unusual: characters whose case, form or class needs the library's own tables, and special tokens.
 UNUSUAL = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0132-\u0148\u014a-\u017e]|\xad|<\|")
-#: The vocabulary's pattern of words, for lower-case texts that aren't unusual.
+#: How vocabularies that this knows cut texts into words, and their pattern of words for lower-case texts that
+#: aren't unusual. With other vocabularies, the library encodes all texts whole.
+KNOWN_CUT = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+]
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ž]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ž0-9²³¹¼-¾]+")
 #: Words remembered at a time, and the longest word that is remembered.
 REMEMBERED, LONGEST_REMEMBERED = 800_000, 64
@@ -105,6 +112,17 @@ def _tokenizer(path: str):
     return t
 
 
+@cache
+def known(path: str) -> bool:
+    """Whether a tokenizer file cuts texts into words as KNOWN_CUT says, and ends a word as its merges expect."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cut_by = [spec.get("normalizer"), (before[0].get("pattern") or {}).get("Regex")]
+    level = before[-1].get("type") == "ByteLevel" and not before[-1].get("add_prefix_space") and not before[-1].get("use_regex", True)
+    return cut_by == KNOWN_CUT and len(before) == 2 and before[0].get("invert") is True and before[0].get("behavior") == "Removed" and level and spec["model"]["type"] == "BPE"
+
+
 def _stretches(text: str) -> list[str]:
     """A long text cut at spaces between ASCII letters, which this kind of vocabulary never joins over."""
     out = []
@@ -145,6 +163,8 @@ def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     The vocabulary never joins over words. So texts of plain Latin characters are cut into words here, each of which
     the library encodes once; other texts, and those with a special token's string, it encodes whole.
     """
+    if not known(path):
+        return _whole(texts, path, end_id)
     end = np.array([end_id], "<u4").tobytes()
     ids_of = _words(path).__getitem__
     out: list[np.ndarray | None] = []
@@ -159,7 +179,7 @@ def token_ids(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
 
 def _whole(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
     t = _tokenizer(path)
-    parts = [_stretches(x) for x in texts]
+    parts = [_stretches(x) if known(path) else [x] for x in texts]
     flat = t.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False)
     out, at = [], 0
     for ps in parts:
@@ -170,6 +190,35 @@ def _whole(texts: list[str], path: str, end_id: int) -> list[np.ndarray]:
 
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
+
+
+class _Packer:
+    """Deals pieces to windows, and numbers the windows of a task upward from `base`."""
+
+    def __init__(self, capacity: int, base: int):
+        self.capacity, self.upcoming = capacity, base
+
+    def windows(self, rows: list[list]) -> pa.RecordBatch:
+        """Fills in sequence_id and offset; pieces that fill a window stand alone."""
+        alone = [i for i, r in enumerate(rows) if r[2] == self.capacity]
+        items = [i for i, r in enumerate(rows) if r[2] != self.capacity]
+        window = pack_sizes(np.array([rows[i][2] for i in items], np.int64), self.capacity)
+        filled: dict[int, int] = {}
+        for i, w in zip(items, window.tolist(), strict=True):
+            rows[i][5], rows[i][6] = w, filled.get(w, 0)
+            filled[w] = rows[i][6] + rows[i][2]
+        new = {w: j for j, w in enumerate(sorted(filled))}
+        for i in items:
+            rows[i][5] = self.upcoming + new[rows[i][5]]
+        for j, i in enumerate(alone):
+            rows[i][5], rows[i][6] = self.upcoming + len(new) + j, 0
+        self.upcoming += len(new) + len(alone)
+        return as_batch(rows)
+
+
+def as_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_NAMES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", stretch: int = STRETCH, piece: int = PIECE) -> DataFrame:
@@ -177,56 +226,51 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     tokenizer: path of the tokenizer file, which every executor has. Each document's ids are followed by end_id, so a
     null or empty text is one token. Whole windows of long documents stand alone; the rest is packed by differencing
-    over stretches of the partition as it is read, so nothing is shuffled and no key gathers rows. A sequence id is the
-    partition's number and one within it. Repeated rows are packed each, and null ids stay. An empty table has no rows.
+    over stretches of what a task reads. Of the pieces that are left over in each task, less than a stretch, only the
+    numbers are written to the shared folder, dealt out evenly and packed as well; texts are never shuffled. A sequence
+    id is the task's number and one within it, and the second step's ids are larger than the first's. Repeated rows are
+    packed each, and null ids stay. An empty table has no rows.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        upcoming = 0
-        held: list[tuple[int | None, np.ndarray]] = []
+        packer = _Packer(capacity, TaskContext.get().partitionId() << 40)
+        rows: list[list] = []
         tokens = 0
-
-        def work() -> pa.RecordBatch:
-            nonlocal upcoming
-            rows, alone, items = [], [], []
-            for d, ids in held:
-                at = 0
-                for n in cut_document(len(ids), capacity, piece):
-                    (alone if n == capacity else items).append(len(rows))
-                    rows.append([d, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), 0, 0])
-                    at += n
-            window = pack_sizes(np.array([rows[i][2] for i in items], np.int64), capacity)
-            filled: dict[int, int] = {}
-            for i, w in zip(items, window.tolist(), strict=True):
-                rows[i][5], rows[i][6] = w, filled.get(w, 0)
-                filled[w] = rows[i][6] + rows[i][2]
-            new = {w: j for j, w in enumerate(sorted(filled))}
-            for i in items:
-                rows[i][5] = new[rows[i][5]]
-            for j, i in enumerate(alone):
-                rows[i][5] = len(new) + j
-            for r in rows:
-                r[5] += (part << 40) + upcoming
-            upcoming += len(new) + len(alone)
-            held.clear()
-            names = [c.split()[0] for c in COLUMNS.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
-
         for batch in batches:
             column = [x.as_py() or "" for x in batch.column(1)]
             for k in range(0, len(column), 50):
-                for d, ids in zip(batch.column(0)[k : k + 50], token_ids(column[k : k + 50], tokenizer, end_id), strict=True):
-                    held.append((d.as_py(), ids))
+                for d, ids in zip(batch.column(0)[k : k + 50].to_pylist(), token_ids(column[k : k + 50], tokenizer, end_id), strict=True):
+                    at = 0
+                    for n in cut_document(len(ids), capacity, piece):
+                        rows.append([d, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids), None, None])
+                        at += n
                     tokens += len(ids)
                 if tokens >= stretch:
-                    yield work()
-                    tokens = 0
-        if held:
-            yield work()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, COLUMNS)
+                    yield packer.windows(rows)
+                    rows, tokens = [], 0
+        if rows:
+            yield as_batch(rows)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(capacity, (1 << 62) + (TaskContext.get().partitionId() << 40))
+        rows: list[list] = []
+        tokens = 0
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append(list(r))
+                tokens += r[2]
+                if tokens >= 2 * stretch:
+                    yield packer.windows(rows)
+                    rows, tokens = [], 0
+        if rows:
+            yield packer.windows(rows)
+
+    pieces = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, COLUMNS))
+    left = pieces.where("sequence_id is null")
+    tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    pooled = left.repartition(max(1, round(tokens / stretch))).mapInArrow(again, COLUMNS)
+    return pieces.where("sequence_id is not null").union(pooled)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
