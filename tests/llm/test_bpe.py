@@ -60,3 +60,8 @@ def test_edge_cases(spark):
 def test_unknown_ids_are_an_error():
     with pytest.raises(KeyError):
         OURS.decode([10**9])
+
+
+def test_other_kinds_of_files_are_refused():
+    with pytest.raises(ValueError):
+        bpe.codec(public_tokenizers.path("word_bpe_49k.json"))

@@ -42,9 +42,12 @@ class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and spec.get("normalizer") is None
+        if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} isn't a byte-level BPE file of the kind that this encodes")
         of = {c: b for b, c in byte_letters().items()}
         raw = lambda s: bytes(of[c] for c in s)
-        model = spec["model"]
         self.id_of = {raw(t): i for t, i in model["vocab"].items() if all(c in of for c in t)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
