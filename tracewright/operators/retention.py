@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hours kept by default and at most; origins that are kept for good.
+#: Hours that a temporary case is kept by default, and at most.
 DEFAULT_HOURS, MOST_HOURS = 24, 168
-PERMANENT = ("P",)
 
 
-def plan(cases: DataFrame, permanent: tuple[str, ...] = PERMANENT) -> DataFrame:
-    """(email_id, expires_at): null for origins kept for good, else after the hours asked for, within bounds."""
-    hours = F.when(F.coalesce(F.col("hours"), F.lit(0)) <= 0, DEFAULT_HOURS).otherwise(F.least(F.lit(MOST_HOURS), F.col("hours")))
+def plan(cases: DataFrame, permanent: tuple[str, ...] = ("dashboard",), most: int = MOST_HOURS, default: int = DEFAULT_HOURS) -> DataFrame:
+    """(email_id, expires_at, rejected) of cases with the columns email_id, analyzed_at, origin, hours.
+
+    A case expires after the hours asked for. Where none are, cases of the permanent origins are kept for good, and others
+    for the default. More hours than `most`, or less than one, are rejected, and nothing is planned.
+    """
+    hours = F.coalesce(F.col("hours"), F.when(~F.coalesce(F.col("origin").isin(*permanent), F.lit(False)), default))
+    rejected = F.coalesce((F.col("hours") > most) | (F.col("hours") < 1), F.lit(False))
     after = F.timestamp_seconds(F.unix_seconds("analyzed_at") + hours * 3600)
-    return cases.select("email_id", F.when(~F.col("origin").isin(*permanent), after).alias("expires_at"))
+    return cases.select("email_id", F.when(~rejected, after).alias("expires_at"), rejected.alias("rejected"))
 
 
 def state(retention: DataFrame, now: Column) -> DataFrame:

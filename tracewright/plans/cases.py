@@ -189,7 +189,7 @@ QUERIES = {
     "decision": lambda s, d: S.with_status(cases(s, d), latest_status(s, d)).where("status <> 'open'").select("email_id", "status", F.concat(F.col("status"), F.lit("_decision")).alias("action"), "sender"),
     "cache_ttl": lambda s, d: S.unexpired(retention(s, d), F.lit(NOW).cast("timestamp")).select("email_id", "expires_at"),
     "cache_lru": lambda s, d: S.lru(table(s, d, "events").withColumn("at", F.col("ts").cast("timestamp")), "at", "user_id", 40),
-    "retention_plan": lambda s, d: R.plan(cases(s, d).select("email_id", "analyzed_at", F.col("source_type").alias("origin"), (F.col("risk") * 3 - 30).alias("hours"))),
+    "retention_plan": lambda s, d: R.plan(cases(s, d).select("email_id", "analyzed_at", F.col("source_type").alias("origin"), F.when(F.col("risk") % 4 > 0, F.col("risk") * 3 - 30).alias("hours")), permanent=("P",)),
     "retention_state": lambda s, d: R.state(retention(s, d), F.lit(NOW).cast("timestamp")),
     "retention_sweep": lambda s, d: R.sweep(cases(s, d), R.due(retention(s, d), F.lit(NOW).cast("timestamp"))).select("email_id", "risk"),
     "freeze": lambda s, d: R.freeze(retention(s, d), status_events(s, d).where("status = 'blocked'"), F.lit(NOW).cast("timestamp")),
@@ -234,7 +234,7 @@ ORACLE_SQL = {
     "decision": _CASES + f", st AS ({_STATUS}) SELECT email_id, status, status || '_decision' AS action, sender FROM cases JOIN st USING (email_id) WHERE status <> 'open'",
     "cache_ttl": _RETENTION + f" SELECT email_id, expires_at FROM retention WHERE expires_at >= TIMESTAMP '{NOW}'",
     "cache_lru": "SELECT user_id, CAST(max(ts) AS TIMESTAMP) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 40",
-    "retention_plan": _CASES + " SELECT email_id, CASE WHEN source_type = 'P' THEN NULL ELSE analyzed_at + to_hours(CAST(CASE WHEN risk * 3 - 30 <= 0 THEN 24 ELSE least(168, risk * 3 - 30) END AS INTEGER)) END AS expires_at FROM cases",
+    "retention_plan": _CASES + " SELECT email_id, coalesce(h > 168 OR h < 1, false) AS rejected, CASE WHEN h BETWEEN 1 AND 168 THEN analyzed_at + to_hours(CAST(h AS INTEGER)) WHEN h IS NULL AND source_type <> 'P' THEN analyzed_at + INTERVAL 24 HOUR END AS expires_at FROM (SELECT *, CASE WHEN risk % 4 > 0 THEN risk * 3 - 30 END AS h FROM cases)",
     "retention_state": _RETENTION + f" SELECT email_id, CASE WHEN purged_at IS NOT NULL THEN 'purged' WHEN frozen_at IS NOT NULL THEN 'frozen' WHEN expires_at IS NOT NULL THEN 'expiring' ELSE 'permanent' END AS state, CASE WHEN purged_at IS NULL AND frozen_at IS NULL AND expires_at IS NOT NULL THEN greatest(0, CAST(epoch(expires_at) - epoch(TIMESTAMP '{NOW}') AS BIGINT)) END AS seconds_left FROM retention",
     "retention_sweep": _RETENTION + f" SELECT email_id, risk FROM cases WHERE email_id NOT IN (SELECT email_id FROM retention WHERE expires_at < TIMESTAMP '{NOW}' AND frozen_at IS NULL AND purged_at IS NULL)",
     "freeze": _RETENTION + f" SELECT email_id, CASE WHEN frozen_at IS NULL AND purged_at IS NULL AND expires_at IS NOT NULL AND email_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2 AND l_returnflag = 'R') THEN TIMESTAMP '{NOW}' ELSE frozen_at END AS frozen_at FROM retention",

@@ -161,24 +161,15 @@ def _guarded(s, d):
     return ruled(s, d).select("l_orderkey", "l_linenumber", S.guarded(F.col("rule"), F.col("risk"), F.col("bec")).alias("g")).select("l_orderkey", "l_linenumber", "g.category", "g.risk")
 
 
-def _attribution(s, d):
-    c = F.col
-    of = S.attribution(c("rule"), c("lookalike"), c("age"), c("dmarc") == "fail", c("spf") == "softfail", F.when(c("disposable"), 0.8).otherwise(0.0), c("protected"))
-    return ruled(s, d).select("l_orderkey", "l_linenumber", of.alias("a")).select("l_orderkey", "l_linenumber", "a.source", "a.confidence")
-
-
 QUERIES = {
     "pillar_auth": _scored("auth"),
     "pillar_text": _scored("txt"),
-    "pillar_url": _scored("link"),
     "pillar_network": _scored("network"),
     "pillar_entropy": _scored("entropy"),
     "risk": _scored("risk"),
     "severity_band": lambda s, d: scored(s, d).groupBy(S.severity_band(F.col("risk"), F.col("misaligned") > 0).alias("band")).agg(F.count("*").alias("n")),
-    "rule_ladder": lambda s, d: ruled(s, d).groupBy("rule").agg(F.count("*").alias("n"), F.max("risk").alias("max_risk")),
     "fuse": lambda s, d: ruled(s, d).select("l_orderkey", "l_linenumber", F.round(S.fuse_confidence(F.col("rule"), F.col("ml"), F.col("model"), F.col("risk")), 6).alias("confidence")),
     "guards": _guarded,
-    "attribution": _attribution,
     "infra": lambda s, d: signals(s, d).select("l_orderkey", "l_linenumber", F.array(F.when(F.col("disposable"), 0.6), F.when(F.col("lookalike"), 0.8), F.when(F.col("protected"), 0.4)).alias("x")).select("l_orderkey", "l_linenumber", F.array_compact("x").alias("x")).select("l_orderkey", "l_linenumber", F.round(F.coalesce(F.least(F.lit(1.0), F.array_max("x") + 0.1 * (F.size("x") - 1)), F.lit(0.0)), 6).alias("score")),
     "agg_findings": lambda s, d: signals(s, d).groupBy("l_orderkey", "spf").agg(F.min("l_linenumber").alias("first")).orderBy("l_orderkey", "first"),
     "indicators": indicators,
@@ -204,18 +195,13 @@ def _p(name: str) -> str:
 ORACLE_SQL = {
     "pillar_auth": _p("auth"),
     "pillar_text": _p("txt"),
-    "pillar_url": _p("link"),
     "pillar_network": _p("network"),
     "pillar_entropy": _p("entropy"),
     "risk": _SIGNALS + " SELECT l_orderkey, l_linenumber, risk FROM ruled",
     "severity_band": _SIGNALS + " SELECT CASE WHEN risk <= 0 AND misaligned = 0 THEN 'info' WHEN risk < 25 THEN 'low' WHEN risk < 50 THEN 'medium' WHEN risk < 75 THEN 'high' ELSE 'critical' END AS band, count(*) AS n FROM ruled GROUP BY 1",
-    "rule_ladder": _SIGNALS + " SELECT rule, count(*) AS n, max(risk) AS max_risk FROM ruled GROUP BY rule",
     "fuse": _SIGNALS + " SELECT l_orderkey, l_linenumber, round(CASE WHEN rule = ml THEN least(0.98::DOUBLE, 0.75::DOUBLE + 0.25::DOUBLE * model) WHEN (rule <> 'Legitimate' AND risk >= 50) OR (rule = 'Legitimate' AND risk < 25) THEN 0.7 ELSE 0.6 END::DOUBLE, 6) AS confidence FROM ruled",
     "guards": _SIGNALS + """, g AS (SELECT *, CASE WHEN rule = 'Legitimate' AND risk >= 40 THEN 'Suspicious' ELSE rule END AS category FROM ruled)
         SELECT l_orderkey, l_linenumber, category, greatest(risk, CASE category WHEN 'Phishing' THEN 60 WHEN 'Fraud-Related' THEN 60 WHEN 'Impersonated' THEN 45 WHEN 'Suspicious' THEN 25 ELSE 0 END, CASE WHEN bec >= 0.5 AND category <> 'Legitimate' THEN 50 ELSE 0 END) AS risk FROM g""",
-    "attribution": _SIGNALS + """ SELECT l_orderkey, l_linenumber,
-        CASE WHEN rule = 'Legitimate' THEN 'legitimate' WHEN lookalike THEN 'lookalike_domain' WHEN dmarc = 'fail' THEN 'spoofed_sender' WHEN spf = 'softfail' THEN 'compromised_account' WHEN disposable THEN 'direct_infrastructure' WHEN protected THEN 'freemail_throwaway' ELSE 'unknown' END AS source,
-        CASE WHEN rule = 'Legitimate' THEN 0.9 WHEN lookalike THEN CASE WHEN age < 90 THEN 0.9 ELSE 0.8 END WHEN dmarc = 'fail' THEN 0.75 WHEN spf = 'softfail' THEN 0.7 WHEN disposable THEN 0.8 WHEN protected THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence FROM ruled""",
     "infra": _SIGNALS + ", x AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN disposable THEN 0.6::DOUBLE END, CASE WHEN lookalike THEN 0.8::DOUBLE END, CASE WHEN protected THEN 0.4::DOUBLE END], lambda v: v IS NOT NULL) AS x FROM signals) SELECT l_orderkey, l_linenumber, round(coalesce(least(1.0::DOUBLE, list_max(x) + 0.1::DOUBLE * (len(x) - 1)), 0.0), 6) AS score FROM x",
     "agg_findings": _SIGNALS + " SELECT l_orderkey, spf, min(l_linenumber) AS first FROM signals GROUP BY ALL",
     "indicators": _IND + " SELECT * FROM own",
