@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import cases, enrich, links, messages, models, scoring, texts, verdicts
+from .plans import cases, enrich, files, links, messages, models, scoring, texts, verdicts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (cases, links, texts, scoring, verdicts, enrich, messages, models):
+for _plans in (cases, links, texts, scoring, verdicts, files, enrich, messages, models):
     QUERIES |= _plans.QUERIES
     ORACLE_SQL |= _plans.ORACLE_SQL
