@@ -69,19 +69,19 @@ _RETENTION = _CASES + """, retention AS (
 
 
 def status_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as events that set a case's status."""
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("email_id"), "l_linenumber", F.when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_returnflag") == "A", "quarantined").otherwise("open").alias("status"), F.col("l_shipdate").cast("timestamp").alias("set_at"), "l_partkey").where("l_linenumber > 2")
+    """Line items as events that set a case's status; a case is told by the part, so many have several and others none."""
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("email_id"), "l_linenumber", F.when(F.col("l_returnflag") == "R", "blocked").when(F.col("l_returnflag") == "A", "quarantined").otherwise("open").alias("status"), F.col("l_shipdate").cast("timestamp").alias("set_at"), "l_orderkey")
 
 
 def latest_status(spark: SparkSession, sf: str) -> DataFrame:
-    newest = [F.desc("set_at"), F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("status")]
+    newest = [F.desc("set_at"), F.desc("l_linenumber"), F.desc("l_orderkey"), F.desc("status")]
     return S.latest(status_events(spark, sf), ["email_id"], newest).select("email_id", "status", "set_at")
 
 
 _STATUS = """SELECT email_id, status, set_at FROM (
-    SELECT l_orderkey AS email_id, CASE l_returnflag WHEN 'R' THEN 'blocked' WHEN 'A' THEN 'quarantined' ELSE 'open' END AS status, CAST(l_shipdate AS TIMESTAMP) AS set_at, l_linenumber, l_partkey
-    FROM lineitem WHERE l_linenumber > 2
-) QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY set_at DESC, l_linenumber DESC, l_partkey DESC, status DESC) = 1"""
+    SELECT l_partkey AS email_id, CASE l_returnflag WHEN 'R' THEN 'blocked' WHEN 'A' THEN 'quarantined' ELSE 'open' END AS status, CAST(l_shipdate AS TIMESTAMP) AS set_at, l_linenumber, l_orderkey
+    FROM lineitem
+) QUALIFY row_number() OVER (PARTITION BY email_id ORDER BY set_at DESC, l_linenumber DESC, l_orderkey DESC, status DESC) = 1"""
 
 
 def event_hops(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,22 +222,22 @@ ORACLE_SQL = {
     "sink_upsert": _STATUS,
     "j_status": _CASES + f", st AS ({_STATUS}) SELECT email_id, risk, coalesce(status, 'open') AS status FROM cases LEFT JOIN st USING (email_id)",
     "j_listed": _RETENTION + " SELECT email_id, category FROM cases c WHERE NOT EXISTS (SELECT 1 FROM retention r WHERE r.email_id = c.email_id AND NOT r.listed)",
-    "j_backfill": _CASES + " SELECT email_id, sender FROM cases WHERE email_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)",
-    "j_exists": _CASES + " SELECT email_id FROM cases WHERE email_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2 AND l_returnflag = 'R')",
+    "j_backfill": _CASES + " SELECT email_id, sender FROM cases WHERE email_id NOT IN (SELECT l_partkey FROM lineitem)",
+    "j_exists": _CASES + " SELECT email_id FROM cases WHERE email_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "j_inlist": _CASES + " SELECT CAST(pos AS INTEGER) AS pos, email_id, risk, category FROM cases JOIN (SELECT unnest([7, 3, 99, 1, 32, 5]) AS email_id, unnest(range(6)) AS pos) USING (email_id)",
     "o_alerts": _CASES + " SELECT email_id, analyzed_at, category, risk, CASE WHEN risk >= 75 THEN 'critical' ELSE 'high' END AS severity, false AS acknowledged FROM cases WHERE risk >= 70 ORDER BY analyzed_at DESC, email_id DESC LIMIT 50",
     "o_export": _CASES + " SELECT CAST(email_id AS VARCHAR) AS email_id, sender, subject, category, CAST(risk AS VARCHAR) AS risk FROM cases ORDER BY cases.email_id LIMIT 5000",
     "o_campaigns": _CASES + " SELECT campaign_id, max(analyzed_at) AS updated_at FROM cases GROUP BY campaign_id",
     "o_incidents": _CASES + " SELECT email_id, risk FROM cases WHERE risk > 95",
     "alert_raise": _CASES + " SELECT email_id, analyzed_at, category, risk, CASE WHEN risk >= 75 THEN 'critical' ELSE 'high' END AS severity, false AS acknowledged FROM cases WHERE risk >= 70",
-    "alert_ack": _CASES + " SELECT email_id, email_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2 AND l_returnflag = 'R') AS acknowledged FROM cases WHERE risk >= 70",
+    "alert_ack": _CASES + " SELECT email_id, email_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AS acknowledged FROM cases WHERE risk >= 70",
     "decision": _CASES + f", st AS ({_STATUS}) SELECT email_id, status, status || '_decision' AS action, sender FROM cases JOIN st USING (email_id) WHERE status <> 'open'",
     "cache_ttl": _RETENTION + f" SELECT email_id, expires_at FROM retention WHERE expires_at >= TIMESTAMP '{NOW}'",
     "cache_lru": "SELECT user_id, CAST(max(ts) AS TIMESTAMP) AS last_used FROM events GROUP BY user_id ORDER BY last_used DESC, user_id LIMIT 40",
     "retention_plan": _CASES + " SELECT email_id, coalesce(h > 168 OR h < 1, false) AS rejected, CASE WHEN h BETWEEN 1 AND 168 THEN analyzed_at + to_hours(CAST(h AS INTEGER)) WHEN h IS NULL AND source_type <> 'P' THEN analyzed_at + INTERVAL 24 HOUR END AS expires_at FROM (SELECT *, CASE WHEN risk % 4 > 0 THEN risk * 3 - 30 END AS h FROM cases)",
     "retention_state": _RETENTION + f" SELECT email_id, CASE WHEN purged_at IS NOT NULL THEN 'purged' WHEN frozen_at IS NOT NULL THEN 'frozen' WHEN expires_at IS NOT NULL THEN 'expiring' ELSE 'permanent' END AS state, CASE WHEN purged_at IS NULL AND frozen_at IS NULL AND expires_at IS NOT NULL THEN greatest(0, CAST(epoch(expires_at) - epoch(TIMESTAMP '{NOW}') AS BIGINT)) END AS seconds_left FROM retention",
     "retention_sweep": _RETENTION + f" SELECT email_id, risk FROM cases WHERE email_id NOT IN (SELECT email_id FROM retention WHERE expires_at < TIMESTAMP '{NOW}' AND frozen_at IS NULL AND purged_at IS NULL)",
-    "freeze": _RETENTION + f" SELECT email_id, CASE WHEN frozen_at IS NULL AND purged_at IS NULL AND expires_at IS NOT NULL AND email_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2 AND l_returnflag = 'R') THEN TIMESTAMP '{NOW}' ELSE frozen_at END AS frozen_at FROM retention",
+    "freeze": _RETENTION + f" SELECT email_id, CASE WHEN frozen_at IS NULL AND purged_at IS NULL AND expires_at IS NOT NULL AND email_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN TIMESTAMP '{NOW}' ELSE frozen_at END AS frozen_at FROM retention",
     "st_retention": _RETENTION + " SELECT email_id, expires_at FROM retention WHERE expires_at IS NOT NULL AND frozen_at IS NULL AND purged_at IS NULL",
     "w_delay": _HOPS + " SELECT msg_id, idx, round(delay, 3) AS delay FROM odd",
     "hop_build": _HOPS + " SELECT msg_id, idx, array_to_string(anomalies, ',') AS anomalies FROM odd",

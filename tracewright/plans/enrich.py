@@ -82,8 +82,8 @@ QUERIES = {
     "auth_fuse": lambda s, d: table(s, d, "lineitem").select(F.element_at(F.array(*[F.lit(x) for x in ("pass", "fail", "none", "temperror")]), (F.col("l_partkey") % 4 + 1).cast("int")).alias("live"), F.when(F.col("l_suppkey") % 3 != 0, F.lower("l_returnflag")).alias("recorded")).select(E.fuse_spf(F.col("live"), F.col("recorded")).alias("spf")).groupBy("spf").agg(F.count("*").alias("n")),
     "dmarc_policy": lambda s, d: E.dmarc_policy(table(s, d, "nation").select(F.col("n_name").alias("domain"), F.col("n_regionkey").cast("string").alias("org")), s.createDataFrame([("0", "reject"), ("2", "none"), ("CHINA", "quarantine")], "domain string, policy string")).select("domain", "policy"),
     "canonical_json": lambda s, d: table(s, d, "nation").select("n_nationkey", E.canonical(["n_regionkey", "n_name", "n_nationkey"]).alias("json")),
-    "sink_csv_report": lambda s, d: E.sections(cases(s, d).where("email_id < 200"), _REPORT, "email_id"),
-    "report": lambda s, d: E.timeline([(cases(s, d).where("email_id < 500").select("email_id", F.col("analyzed_at").alias("at")), "analyzed"), (table(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("email_id"), F.col("l_shipdate").cast("timestamp").alias("at")), "shipped")], "email_id", "at"),
+    "sink_csv_report": lambda s, d: E.sections(cases(s, d), _REPORT, "email_id"),
+    "report": lambda s, d: E.timeline([(cases(s, d).select("email_id", F.col("analyzed_at").alias("at")), "analyzed"), (table(s, d, "lineitem").select(F.col("l_orderkey").alias("email_id"), F.col("l_shipdate").cast("timestamp").alias("at")), "shipped")], "email_id", "at"),
     "actions": lambda s, d: cases(s, d).select("email_id", F.array_join(F.slice(F.array_distinct(F.array_compact(F.array(F.when(F.col("risk") >= 70, F.concat(F.lit("Block "), "sender")), F.when(F.col("category") == "Phishing", F.lit("Reset passwords")), F.when(F.col("risk") >= 25, F.lit("Report to the security team")), F.lit("Keep a record")))), 1, 10), "; ").alias("actions")),
     "ml_label_map": lambda s, d: E.relabel(table(s, d, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("raw")).agg(F.sum(F.floor("o_totalprice")).cast("double").alias("p")), _labels(s), ["o_custkey"]).select("o_custkey", "label", F.round("p", 6).alias("p")),
     "s_union": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus"))), ",").alias("merged")),
@@ -123,8 +123,8 @@ ORACLE_SQL = {
     "auth_fuse": "SELECT CASE WHEN live IN ('pass', 'fail') THEN live WHEN recorded IS NOT NULL THEN recorded WHEN live = 'none' THEN live ELSE 'unverifiable' END AS spf, count(*) AS n FROM (SELECT ['pass', 'fail', 'none', 'temperror'][l_partkey % 4 + 1] AS live, CASE WHEN l_suppkey % 3 <> 0 THEN lower(l_returnflag) END AS recorded FROM lineitem) GROUP BY 1",
     "dmarc_policy": "SELECT n_name AS domain, CASE WHEN n_name = 'CHINA' THEN 'quarantine' WHEN n_regionkey = 0 THEN 'reject' ELSE 'none' END AS policy FROM nation",
     "canonical_json": """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS json FROM nation""",
-    "sink_csv_report": _CASES + " SELECT email_id, CAST(pos AS INTEGER) AS pos, section, field, value FROM (SELECT email_id, unnest(range(5)) AS pos, unnest(['Case', 'Case', 'Case', 'Sender', 'Sender']) AS section, unnest(['email_id', 'category', 'risk', 'sender', 'country']) AS field, unnest([CAST(email_id AS VARCHAR), category, CAST(risk AS VARCHAR), sender, country]) AS value FROM cases WHERE email_id < 200)",
-    "report": _CASES + ", e AS (SELECT email_id, analyzed_at AS at_, 'analyzed' AS what FROM cases WHERE email_id < 500 UNION ALL SELECT l_orderkey, CAST(l_shipdate AS TIMESTAMP), 'shipped' FROM lineitem WHERE l_orderkey < 500) SELECT email_id, at_ AS \"at\", what, CAST(row_number() OVER (PARTITION BY email_id ORDER BY at_, what) AS INTEGER) AS place FROM e",
+    "sink_csv_report": _CASES + " SELECT email_id, CAST(pos AS INTEGER) AS pos, section, field, value FROM (SELECT email_id, unnest(range(5)) AS pos, unnest(['Case', 'Case', 'Case', 'Sender', 'Sender']) AS section, unnest(['email_id', 'category', 'risk', 'sender', 'country']) AS field, unnest([CAST(email_id AS VARCHAR), category, CAST(risk AS VARCHAR), sender, country]) AS value FROM cases)",
+    "report": _CASES + ", e AS (SELECT email_id, analyzed_at AS at_, 'analyzed' AS what FROM cases UNION ALL SELECT l_orderkey, CAST(l_shipdate AS TIMESTAMP), 'shipped' FROM lineitem) SELECT email_id, at_ AS \"at\", what, CAST(row_number() OVER (PARTITION BY email_id ORDER BY at_, what) AS INTEGER) AS place FROM e",
     "actions": _CASES + " SELECT email_id, array_to_string(list_filter([CASE WHEN risk >= 70 THEN 'Block ' || sender END, CASE WHEN category = 'Phishing' THEN 'Reset passwords' END, CASE WHEN risk >= 25 THEN 'Report to the security team' END, 'Keep a record'], lambda x: x IS NOT NULL), '; ') AS actions FROM cases",
     "ml_label_map": "SELECT o_custkey, label, round(p / sum(p) OVER (PARTITION BY o_custkey), 6) AS p FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS label, CAST(sum(floor(o_totalprice)) AS DOUBLE) AS p FROM orders GROUP BY ALL)",
     "s_union": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(list(l_returnflag), list(l_linestatus)))), ',') AS merged FROM lineitem GROUP BY 1",

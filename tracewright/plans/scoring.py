@@ -101,7 +101,7 @@ def ruled(spark: SparkSession, sf: str) -> DataFrame:
 
 def indicators(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as messages: suppliers are strong indicators, part sizes and priorities weak ones."""
-    li = table(spark, sf, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, sf, "lineitem")
     part = table(spark, sf, "part")
     joined = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     rows = joined.select(
@@ -109,16 +109,16 @@ def indicators(spark: SparkSession, sf: str) -> DataFrame:
         F.explode(
             F.array(
                 F.when(F.col("l_linenumber") == 1, F.concat(F.lit("sender:"), F.col("l_partkey"))),
-                F.concat(F.lit("subject:"), F.col("p_size"), F.lit("-"), F.col("p_brand")),
-                F.concat(F.lit("mailer:"), F.col("p_type")),
+                F.concat_ws("-", F.concat(F.lit("subject:"), F.col("p_size")), "p_brand", "l_suppkey"),
+                F.concat_ws("-", F.concat(F.lit("mailer:"), F.col("l_suppkey")), F.col("l_quantity").cast("int")),
             )
         ).alias("indicator"),
     )
     return rows.where("indicator IS NOT NULL").distinct()
 
 
-_IND = """WITH RECURSIVE j AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 3000), ind AS (
-    SELECT DISTINCT l_orderkey AS email_id, unnest([CASE WHEN l_linenumber = 1 THEN 'sender:' || l_partkey END, 'subject:' || p_size || '-' || p_brand, 'mailer:' || p_type]) AS indicator FROM j
+_IND = """WITH RECURSIVE j AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey), ind AS (
+    SELECT DISTINCT l_orderkey AS email_id, unnest([CASE WHEN l_linenumber = 1 THEN 'sender:' || l_partkey END, 'subject:' || p_size || '-' || p_brand || '-' || l_suppkey, 'mailer:' || l_suppkey || '-' || CAST(l_quantity AS INTEGER)]) AS indicator FROM j
 ), own AS (SELECT * FROM ind WHERE indicator IS NOT NULL), pairs AS (
     SELECT a.email_id AS a, b.email_id AS b, count(*) FILTER (starts_with(a.indicator, 'sender:')) AS strong, count(*) FILTER (NOT starts_with(a.indicator, 'sender:')) AS weak
     FROM own a JOIN own b ON a.indicator = b.indicator AND a.email_id < b.email_id GROUP BY ALL
@@ -133,24 +133,24 @@ def strong_campaigns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("n_chars >= 200")
-    return d.select(F.col("doc_id").alias("id"), F.conv(F.substring(F.md5(F.substring("text", 1, 120).cast("binary")), 1, 16), 16, -10).cast("bigint").alias("digest"))
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), 16, -10).cast("bigint").alias("digest"))
 
 
 def supply_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500").withColumn("graph", F.col("l_orderkey"))
+    li = table(spark, sf, "lineitem").withColumn("graph", F.col("l_orderkey"))
     return G.nodes([(li, "domain", F.col("l_suppkey"), F.col("l_quantity")), (li, "url", F.col("l_partkey"), F.col("l_linenumber")), (li, "ip", F.col("l_returnflag"), F.lit(0))])
 
 
 def supply_edges(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500").withColumn("graph", F.col("l_orderkey"))
+    li = table(spark, sf, "lineitem").withColumn("graph", F.col("l_orderkey"))
     a, b, c = G.node_id("domain", F.col("l_suppkey")), G.node_id("url", F.col("l_partkey")), G.node_id("ip", F.col("l_returnflag"))
     return G.edges([(li, b, a, "links_to"), (li, a, c, "resolves_to")])
 
 
-_NODES = """WITH n AS (SELECT l_orderkey AS graph, 'domain:' || l_suppkey AS id, 'domain' AS kind, CAST(l_quantity AS INTEGER) AS risk FROM lineitem WHERE l_orderkey < 500
-    UNION ALL SELECT l_orderkey, 'url:' || l_partkey, 'url', l_linenumber FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT l_orderkey, 'ip:' || lower(l_returnflag), 'ip', 0 FROM lineitem WHERE l_orderkey < 500)"""
-_EDGES = "SELECT DISTINCT l_orderkey AS graph, 'url:' || l_partkey AS source, 'domain:' || l_suppkey AS target, 'links_to' AS relation FROM lineitem WHERE l_orderkey < 500 UNION SELECT DISTINCT l_orderkey, 'domain:' || l_suppkey, 'ip:' || lower(l_returnflag), 'resolves_to' FROM lineitem WHERE l_orderkey < 500"
+_NODES = """WITH n AS (SELECT l_orderkey AS graph, 'domain:' || l_suppkey AS id, 'domain' AS kind, CAST(l_quantity AS INTEGER) AS risk FROM lineitem
+    UNION ALL SELECT l_orderkey, 'url:' || l_partkey, 'url', l_linenumber FROM lineitem UNION ALL SELECT l_orderkey, 'ip:' || lower(l_returnflag), 'ip', 0 FROM lineitem)"""
+_EDGES = "SELECT DISTINCT l_orderkey AS graph, 'url:' || l_partkey AS source, 'domain:' || l_suppkey AS target, 'links_to' AS relation FROM lineitem UNION SELECT DISTINCT l_orderkey, 'domain:' || l_suppkey, 'ip:' || lower(l_returnflag), 'resolves_to' FROM lineitem"
 
 
 def _scored(name):
@@ -209,7 +209,7 @@ ORACLE_SQL = {
     "j_related": _IND + " SELECT a, b FROM related",
     "j_prefix": _IND + " SELECT indicator, count(*) AS n FROM own WHERE starts_with(indicator, 'subject:1') GROUP BY 1",
     "j_digest": _IND + " SELECT email_id, count(DISTINCT indicator) AS n FROM own WHERE sha256(indicator) IN (SELECT sha256(indicator) FROM own WHERE email_id < 100) GROUP BY 1",
-    "j_fuzzy": "WITH d AS (SELECT doc_id AS id, CAST('0x' || substring(md5(substring(text, 1, 120)), 1, 16) AS UBIGINT) AS digest FROM documents WHERE n_chars >= 200) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.digest, b.digest)) AS INTEGER) AS distance FROM d a JOIN d b ON a.id < b.id AND bit_count(xor(a.digest, b.digest)) <= 12",
+    "j_fuzzy": "WITH d AS (SELECT doc_id AS id, CAST('0x' || substring(md5(text), 1, 16) AS UBIGINT) AS digest FROM documents) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.digest, b.digest)) AS INTEGER) AS distance FROM d a JOIN d b ON a.id < b.id AND bit_count(xor(a.digest, b.digest)) <= 12",
     "campaign_assign": _IND + _COMPONENTS + " SELECT x AS email_id, min(y) AS campaign_id FROM reach GROUP BY x",
     "campaign_summary": _IND + _COMPONENTS + " SELECT campaign_id, count(*) AS members FROM (SELECT x, min(y) AS campaign_id FROM reach GROUP BY x) GROUP BY 1",
     "graph_nodes": _NODES + " SELECT * FROM n",

@@ -73,13 +73,13 @@ QUERIES = {
     "luhn": lambda s, d: docs(s, d).select("doc_id", F.explode(T.found(F.col("text"), T.CARD)).alias("digits")).select("doc_id", "digits", T.luhn(F.col("digits")).alias("valid")),
     "detect_email": lambda s, d: docs(s, d).groupBy("source").agg(F.sum(F.size(T.found(F.col("text"), T.EMAIL))).alias("emails"), F.sum(F.size(T.found(F.col("text"), T.CARD))).alias("numbers")),
     "mask_email": lambda s, d: docs(s, d).select("doc_id", F.explode(T.found(F.col("text"), T.EMAIL)).alias("e")).select("doc_id", T.mask_email(F.col("e")).alias("masked")),
-    "mask_name": lambda s, d: docs(s, d).where("lang = 'en'").select("doc_id", T.mask_name(F.substring("text", 1, 40)).alias("masked")),
-    "csv_guard": lambda s, d: docs(s, d).select("doc_id", T.csv_guard(F.substring("text", 1, 30)).alias("cell")),
+    "mask_name": lambda s, d: docs(s, d).select("doc_id", T.mask_name(F.col("text")).alias("masked")),
+    "csv_guard": lambda s, d: docs(s, d).select("doc_id", T.csv_guard(F.col("text")).alias("cell")),
     "str_entropy": lambda s, d: table(s, d, "pages").select("page_id", F.round(T.shannon(F.col("url")), 6).alias("entropy")),
-    "shingles": lambda s, d: docs(s, d).where("lang = 'en' AND n_chars < 2000").select(F.explode(T.shingles(F.regexp_replace("text", "[^A-Za-z ]", " "))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"),
-    "simhash_md5": lambda s, d: docs(s, d).where("n_chars < 3000").select("doc_id", simhash_md5(F.col("text")).alias("simhash")),
+    "shingles": lambda s, d: docs(s, d).select(F.explode(T.shingles(F.regexp_replace("text", "[^A-Za-z ]", " "))).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2"),
+    "simhash_md5": lambda s, d: docs(s, d).select("doc_id", simhash_md5(F.col("text")).alias("simhash")),
     "hamming": lambda s, d: docs(s, d).select("doc_id", T.hamming(F.substring(F.md5(F.col("text").cast("binary")), 1, 16), F.lit("ffffffffffffffff")).cast("int").alias("bits")),
-    "homoglyph_fold": lambda s, d: docs(s, d).select("doc_id", T.fold_homoglyphs(F.substring("text", 1, 60), {"é": "e", "ä": "a", "0": "o", "1": "l", "rn": "m", "vv": "w"}).alias("folded")),
+    "homoglyph_fold": lambda s, d: docs(s, d).select("doc_id", T.fold_homoglyphs(F.col("text"), {"é": "e", "ä": "a", "0": "o", "1": "l", "rn": "m", "vv": "w"}).alias("folded")),
     "msgid_domain": lambda s, d: docs(s, d).select("doc_id", T.message_id_domain(_first_email(F.col("text"))).alias("domain")),
     "filename_sanitise": lambda s, d: table(s, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"), T.file_extension(F.regexp_replace("url", r"[?#].*$", "")).alias("extension")),
     "header_get": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.min_by(F.when(F.lower("role") == "assistant", F.col("text")), F.when(F.lower("role") == "assistant", F.col("turn"))).alias("first_reply")),
@@ -87,7 +87,7 @@ QUERIES = {
     "ip_private": lambda s, d: docs(s, d).select("doc_id", F.explode(F.array_distinct(T.found(F.col("text"), T.DOTTED_QUAD))).alias("ip")).select("doc_id", "ip", N.is_private(N.ip_number(F.col("ip"))).alias("private")).where("private IS NOT NULL"),
     "cidr_match": lambda s, d: cidr_match(s, d),
     "agg_holdout": lambda s, d: docs(s, d).join(table(s, d, "labels"), "doc_id").select("toxic", (F.size(T.lexicon_hits(F.col("text"), ["idiot", "scum", "moron", "trash", "clown"])) > 0).cast("int").alias("predicted")).groupBy("toxic", "predicted").agg(F.count("*").alias("n")),
-    "agg_tfidf": lambda s, d: docs(s, d).where("lang = 'en'").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5"),
+    "agg_tfidf": lambda s, d: docs(s, d).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z]+"))).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5"),
 }
 
 
@@ -117,14 +117,14 @@ ORACLE_SQL = {
     "luhn": f"SELECT doc_id, digits, {_LUHN.format(x='digits')} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_CARD}')) AS digits FROM documents)",
     "detect_email": f"SELECT source, CAST(sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(text, '{_CARD}'))) AS BIGINT) AS numbers FROM documents GROUP BY source",
     "mask_email": f"SELECT doc_id, CASE WHEN length(l) <= 1 THEN '*' WHEN length(l) = 2 THEN l[1] || '*' ELSE l[1] || '***' || l[-1] END || '@' || string_split(e, '@')[2] AS masked FROM (SELECT doc_id, e, string_split(e, '@')[1] AS l FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS e FROM documents))",
-    "mask_name": """SELECT doc_id, CASE WHEN t = '' THEN '' WHEN len(ws) = 0 THEN '*' ELSE array_to_string(list_transform(ws[1:3], lambda w: upper(w[1]) || '.'), ' ') END AS masked
-        FROM (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v,]+'), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]')) AS ws FROM (SELECT doc_id, trim(trim(substring(text, 1, 40)), '"') AS t FROM documents WHERE lang = 'en'))""",
-    "csv_guard": "SELECT doc_id, CASE WHEN regexp_matches(substring(text, 1, 30), '^[=+\\-@\\t\\r]') THEN '''' ELSE '' END || substring(text, 1, 30) AS cell FROM documents",
+    "mask_name": """SELECT doc_id, CASE WHEN t = '' THEN '' WHEN len(ws) = 0 THEN '*' ELSE array_to_string(list_transform(ws[1:3], lambda w: replace(upper(w[1]), 'ẞ', 'SS') || '.'), ' ') END AS masked
+        FROM (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t\\n\\r\\f\\v,]+'), lambda w: regexp_matches(w, '^[\\p{L}\\p{N}]')) AS ws FROM (SELECT doc_id, trim(trim(text), '"') AS t FROM documents))""",
+    "csv_guard": "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' ELSE '' END || text AS cell FROM documents",
     "str_entropy": "SELECT page_id, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT page_id, n, ch, count(*)::DOUBLE AS c FROM (SELECT page_id, length(url) AS n, unnest(string_split(url, '')) AS ch FROM pages) GROUP BY ALL) GROUP BY page_id",
-    "shingles": "WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), '\\w+') AS w FROM documents WHERE lang = 'en' AND n_chars < 2000), s AS (SELECT unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS shingle FROM w) SELECT shingle, count(*) AS n FROM s GROUP BY shingle HAVING count(*) > 2",
-    "simhash_md5": f"SELECT doc_id, CAST({_BITS} AS BIGINT) AS simhash FROM (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')), lambda w: CAST('0x' || substring(md5(w), 1, 8) AS BIGINT)) AS h FROM documents WHERE n_chars < 3000)",
+    "shingles": "WITH w AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), '\\w+') AS w FROM documents), s AS (SELECT unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE w END) AS shingle FROM w) SELECT shingle, count(*) AS n FROM s GROUP BY shingle HAVING count(*) > 2",
+    "simhash_md5": f"SELECT doc_id, CAST({_BITS} AS BIGINT) AS simhash FROM (SELECT doc_id, list_transform(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')), lambda w: CAST('0x' || substring(md5(w), 1, 8) AS BIGINT)) AS h FROM documents)",
     "hamming": "SELECT doc_id, CAST(64 - bit_count(CAST('0x' || substring(md5(text), 1, 16) AS UBIGINT)) AS INTEGER) AS bits FROM documents",
-    "homoglyph_fold": "SELECT doc_id, replace(replace(translate(lower(substring(text, 1, 60)), 'éä01', 'eaol'), 'rn', 'm'), 'vv', 'w') AS folded FROM documents",
+    "homoglyph_fold": "SELECT doc_id, replace(replace(translate(lower(text), 'éä01', 'eaol'), 'rn', 'm'), 'vv', 'w') AS folded FROM documents",
     "msgid_domain": f"SELECT doc_id, CASE WHEN e = '' THEN '' ELSE lower(string_split(e, '@')[-1]) END AS domain FROM (SELECT doc_id, regexp_extract(text, '({_EMAIL})', 1) AS e FROM documents)",
     "filename_sanitise": "SELECT page_id, substring(regexp_replace(url, '^.*[/\\\\]', ''), 1, 255) AS name, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([A-Za-z0-9]{1,10})$', 1)) AS extension FROM pages",
     "header_get": "SELECT conv_id, arg_min(text, turn) FILTER (lower(role) = 'assistant') AS first_reply FROM conversations GROUP BY conv_id",
@@ -132,5 +132,5 @@ ORACLE_SQL = {
     "ip_private": f"WITH ips AS ({_IPS}) SELECT doc_id, ip, ({_BETWEEN}) AS private FROM {_NUM}",
     "cidr_match": f"WITH ips AS ({_IPS}), nets AS (SELECT CAST(a AS VARCHAR) || '.0.0.0/8' AS cidr, a * 16777216 AS lo, a * 16777216 + 16777215 AS hi FROM range(0, 256, 5) t(a) UNION ALL SELECT '10.128.0.0/9', {N.number_of('10.128.0.0')}, {N.number_of('10.255.255.255')} UNION ALL SELECT '192.168.0.0/16', {N.number_of('192.168.0.0')}, {N.number_of('192.168.255.255')}) SELECT doc_id, ip, cidr FROM {_NUM} JOIN nets ON n BETWEEN lo AND hi",
     "agg_holdout": "SELECT toxic, CAST(regexp_matches(lower(text), '\\b(?:idiot|scum|moron|trash|clown)\\b') AS INTEGER) AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
-    "agg_tfidf": "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents WHERE lang = 'en') WHERE term <> '' GROUP BY term HAVING count(*) >= 5",
+    "agg_tfidf": "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY term HAVING count(*) >= 5",
 }
