@@ -155,3 +155,25 @@ def fold_homoglyphs(c: Column, table: dict[str, str]) -> Column:
         if len(k) > 1:
             t = F.replace(t, F.lit(k), F.lit(v))
     return t
+
+
+# Handles to which money is sent. What stands before and behind is looked at, so that parts of words don't count.
+UPI = (
+    r"(?i)(?<![\w.])[a-z0-9][a-z0-9._-]{1,}@(?:ybl|paytm|ptyes|ptaxis|ptsbi|pthdfc|okaxis|oksbi|okicici|okhdfcbank|"
+    r"okbizaxis|ibl|axl|apl|yapl|upi|ikwik|fam|kotak|indus|sbi|hdfcbank|icici|axisbank|barodampay|cnrb|boi|pnb|"
+    r"idfcbank|federal|dbs|yesbank|waaxis|wasbi|wahdfcbank|waicici|freecharge|airtel|slice|naviaxis|goaxb|kmbl|"
+    r"abfspay|superyes|tapicici|timecosmos|mbk|amazonpay|jupiteraxis|rapl|axisb|postbank|jio)(?![\w.])"
+)
+WALLET = r"(?<![A-Za-z0-9])(?:bc1[a-z0-9]{25,62}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[a-fA-F0-9]{40}|T[A-Za-z1-9]{33})(?![A-Za-z0-9])"
+IFSC = r"(?<![A-Za-z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Za-z0-9])"
+REMITTANCE = r"(?i)\b(?:western union|moneygram|ria money|mtcn)\b"
+MOST_HANDLES = 8
+# ---
+
+
+def payment_handles(c: Column, most: int = MOST_HANDLES) -> Column:
+    """array<string>, distinct, `most` at most: UPI addresses, wallets, bank codes and remittance services of a text, in that order."""
+    t = text_or_empty(c)
+    named = lambda name, xs: F.transform(xs, lambda x: F.concat(F.lit(name), x))
+    kinds = [named("UPI ", F.transform(found(t, UPI), F.lower)), named("wallet ", found(t, WALLET)), named("IFSC ", found(t, IFSC)), F.transform(found(t, REMITTANCE), F.lower)]
+    return F.slice(F.array_distinct(F.concat(*kinds)), 1, most)

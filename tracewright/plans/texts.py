@@ -61,7 +61,15 @@ def simhash_md5(c):
     return sum(bits[1:], bits[0])
 
 
+def with_handles(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, to some of which handles are added, as their ids tell, and things that are none."""
+    d = F.col("doc_id").cast("string")
+    more = [F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" Pay shop."), d, F.lit("@OkSBI, not me@sbi.co "))), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" 0x"), F.sha1(d.cast("binary")), F.lit(" "))), F.when(F.col("doc_id") % 5 == 0, F.lit(" (HDFC0AB12CD) xHDFC0AB12CD by Western  Union or MoneyGram ")), F.when(F.col("doc_id") % 6 == 0, F.lit(" mtcn MTCN "))]
+    return docs(spark, sf).select("doc_id", F.concat_ws("", "text", *more).alias("text"))
+
+
 QUERIES = {
+    "pay_handles": lambda s, d: with_handles(s, d).select("doc_id", F.array_join(T.payment_handles(F.col("text")), "|").alias("handles")),
     "flagship": flagship,
     "digest_raw": lambda s, d: docs(s, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.md5(F.col("text").cast("binary")).alias("md5")),
     "subj_norm": lambda s, d: docs(s, d).select("doc_id", T.normalize_subject(F.concat(F.lit("Re: [list] FW: "), _first_line())).alias("subject")),
@@ -106,6 +114,7 @@ _BITS = " + ".join(f"CASE WHEN 2 * len(list_filter(h, lambda x: (x >> {b}) & 1 =
 _PREFIX = T.SUBJECT_PREFIX.replace("'", "''")
 
 ORACLE_SQL = {
+    "pay_handles": "SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 3 = 0 THEN 'UPI shop.' || doc_id || '@oksbi' END, CASE WHEN doc_id % 4 = 0 THEN 'wallet 0x' || sha1(CAST(doc_id AS VARCHAR)) END, CASE WHEN doc_id % 5 = 0 THEN 'IFSC HDFC0AB12CD|moneygram' END, CASE WHEN doc_id % 6 = 0 THEN 'mtcn' END) AS handles FROM documents",
     "flagship": _FLAGSHIP,
     "digest_raw": "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents",
     "subj_norm": f"SELECT doc_id, substring(trim(regexp_replace(regexp_replace(regexp_replace(lower('Re: [list] FW: ' || string_split(text, chr(10))[1]), '{_PREFIX}', ''), '[0-9]+', '#', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 80) AS subject FROM documents",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import net as N
 from ..functions import scores as S
 from ..session import table
 
@@ -70,7 +71,22 @@ def _routing(spark: SparkSession, sf: str) -> DataFrame:
     return carried(spark, sf).select(*_KEYS, S.routing_part(anomalies, F.col("n_hops"), F.col("any_public"), F.col("origin_confidence")).alias("routing"))
 
 
+_V4 = "concat(CAST(1 + l_suppkey % 223 AS STRING), '.', CAST(l_partkey % 256 AS STRING), '.0.1')"
+_GROUPS = [("2A00:1450", "2a00:1450", True), ("FD00:00AB", "fd00:ab", False), ("2001:0DB8", "2001:db8", False)]
+_V6 = "CONCAT(CASE l_linenumber % 3 " + " ".join(f"WHEN {i} THEN '{g[0]}'" for i, g in enumerate(_GROUPS)) + " END, ':', lpad(hex(l_partkey % 4095 + 1), 4, '0'), ':0:0:0:0:', hex(l_suppkey % 4095 + 1))"
+_KIND = f"CASE l_partkey % 5 WHEN 0 THEN concat('[', {_V4}, ']') WHEN 1 THEN concat(' IPv6:', {_V6}) WHEN 2 THEN concat('::ffff:', {_V4}) WHEN 3 THEN {_V6} ELSE 'not an address' END"
+
+
+def addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with an address as a header might write it, of both versions."""
+    li = table(spark, sf, "lineitem").select(*_KEYS, F.expr(_KIND).alias("raw"))
+    return li.withColumn("a", N.address_of("raw"))
+
+
 QUERIES = {
+    "ip_norm": lambda s, d: addresses(s, d).select(*_KEYS, "a.address", "a.version"),
+    "ip_public": lambda s, d: addresses(s, d).select(*_KEYS, F.col("a.public").alias("public")),
+    "cidr_v6": lambda s, d: addresses(s, d).select(*_KEYS, N.within(F.col("raw"), F.lit("2a00:1400::/24")).alias("inside")),
     "rule_ladder": lambda s, d: judged(s, d).select(*_KEYS, "category", "reasons"),
     "attribution": _attribution,
     "routing_part": _routing,
@@ -109,7 +125,16 @@ _JUDGED = (
 )
 _ROUTES = " + ".join(f"CASE WHEN {name} THEN {w} ELSE 0 END" for name, w in {"forged_received_order": 40, "negative_delay": 25, "large_delay": 10, "no_tls": 10, "helo_mismatch": 10, "unparseable": 5}.items())
 
+_CANONICAL = "CASE l_linenumber % 3 " + " ".join(f"WHEN {i} THEN '{g[1]}'" for i, g in enumerate(_GROUPS)) + " END || ':' || lower(to_hex(l_partkey % 4095 + 1)) || '::' || lower(to_hex(l_suppkey % 4095 + 1))"
+_ADDRESSES = f"""WITH a AS (
+    SELECT l_orderkey, l_linenumber, l_partkey % 5 AS k, {_V4.replace("AS STRING", "AS VARCHAR")} AS v4, {_CANONICAL} AS v6, l_linenumber % 3 AS g,
+           (1 + l_suppkey % 223) * 16777216 + (l_partkey % 256) * 65536 + 1 AS n FROM lineitem
+), p AS (SELECT *, CASE WHEN k IN (0, 2) THEN NOT ({" OR ".join(f"n BETWEEN {N.number_of(a)} AND {N.number_of(a) + (1 << (32 - b)) - 1}" for a, b in N.NOT_PUBLIC)}) WHEN k IN (1, 3) THEN g = 0 END AS public FROM a)"""
+
 ORACLE_SQL = {
+    "ip_norm": _ADDRESSES + " SELECT l_orderkey, l_linenumber, CASE WHEN k IN (0, 2) THEN v4 WHEN k IN (1, 3) THEN v6 END AS address, CAST(CASE WHEN k IN (0, 2) THEN 4 WHEN k IN (1, 3) THEN 6 END AS INTEGER) AS version FROM p",
+    "ip_public": _ADDRESSES + " SELECT l_orderkey, l_linenumber, public FROM p",
+    "cidr_v6": _ADDRESSES + " SELECT l_orderkey, l_linenumber, CASE WHEN k IN (0, 2) THEN false WHEN k IN (1, 3) THEN g = 0 END AS inside FROM p",
     "rule_ladder": _JUDGED + " SELECT l_orderkey, l_linenumber, category, reasons FROM judged",
     "attribution": _JUDGED
     + """, s AS (
