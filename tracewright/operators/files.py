@@ -127,7 +127,7 @@ def analysed(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     c, lit = F.col, F.lit
     f = files.withColumn("_zip", listing("data"))
     shown = F.regexp_replace(F.coalesce("name", lit("")), r"\s{2,}", " ")
-    f = f.withColumns({"ext": T.file_extension(shown), "kind": kind(c("data"), c("_zip.members")), "_x": latin(c("data"))})
+    f = f.withColumns({"ext": T.file_extension(shown), "kind": kind(c("data"), c("_zip.members")), "_x": latin(c("data"))}).withColumn("_e", T.shannon(c("_x")))
     parts = F.split(F.replace(F.lower(shown), lit(" "), lit("")), r"\.")
     ext, k, some = c("ext"), c("kind"), c("kind") != ""
     runs = extension_rank(ext) >= 3
@@ -142,9 +142,9 @@ def analysed(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     looked_into = c("archive") & k.isin("zip", "ooxml", "") & (ext.isin("zip", "jar", "apk") | (k == "zip")) & c("_zip.ok")
     risky = F.exists("_zip.members", lambda m: (extension_rank(F.regexp_extract(F.lower(m), r"\.([^.]*)$", 1)) >= 3) & ~F.endswith(m, lit("/")))
-    f = f.withColumns({"archive": ext.isin(*ARCHIVES) | k.isin(*ARCHIVE_KINDS), "double_extension": (F.size(parts) >= 3) & F.element_at(F.concat(F.array(lit(""), lit("")), parts), -2).isin(*DOCUMENTS) & runs, "mismatch": odd, "entropy": F.round(T.shannon(c("_x")), 3)})
+    f = f.withColumns({"archive": ext.isin(*ARCHIVES) | k.isin(*ARCHIVE_KINDS), "double_extension": (F.size(parts) >= 3) & F.element_at(F.concat(F.array(lit(""), lit("")), parts), -2).isin(*DOCUMENTS) & runs, "mismatch": odd, "entropy": F.round("_e", 3)})
     vba = F.exists("_zip.members", lambda m: F.endswith(F.lower(m), lit("vbaproject.bin")))
-    f = f.withColumns({"members_risky": looked_into & risky, "locked": looked_into & c("_zip.locked"), "high_entropy": T.shannon(c("_x")) >= threshold, "macros": ((k == "ooxml") & vba) | ((k == "ole") & ole_macros(c("data"))) | ext.isin(*MACRO_NAMES)})
+    f = f.withColumns({"members_risky": looked_into & risky, "locked": looked_into & c("_zip.locked"), "high_entropy": c("_e") >= threshold, "macros": ((k == "ooxml") & vba) | ((k == "ole") & ole_macros(c("data"))) | ext.isin(*MACRO_NAMES)})
     unlike_image = F.when(ext.isin(*SNIFFABLE), ~k.isin(*IMAGE_KINDS)).when(ext.isin(*IMAGES), some & ~k.isin(*IMAGE_KINDS)).otherwise(lit(False))
     f = f.withColumn("payload", c("high_entropy") & ~k.isin(*EXECUTABLE_KINDS) & F.when(ext.isin(*PLAIN), True).when(ext.isin(*PACKED_DOCUMENTS), ~k.isin("ooxml", "zip")).otherwise(unlike_image))
     lowered = F.lower(F.substring("_x", 1, SCANNED))
@@ -154,7 +154,7 @@ def analysed(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ranks = [extension_rank(ext), F.when(c("double_extension") | c("mismatch") | c("macros") | c("locked") | c("payload") | page | script, 3).otherwise(0), F.when(k.isin(*EXECUTABLE_KINDS) | c("members_risky"), 4).otherwise(0), F.when(closed, 2).otherwise(0)]
     harmless = F.coalesce("inline", lit(False)) & (k.isin(*IMAGE_KINDS) | ext.isin(*IMAGES)) & ~c("mismatch")
     f = f.withColumn("rank", F.when(harmless, 0).otherwise(F.greatest(*ranks)))
-    return f.withColumn("risk", F.get(F.array(*[lit(r) for r in RANKS]), c("rank"))).drop("_zip", "_x")
+    return f.withColumn("risk", F.get(F.array(*[lit(r) for r in RANKS]), c("rank"))).drop("_zip", "_x", "_e")
 
 
 #: Findings of a message's files: id, severity (that of the worst file for the first), and which files make it.
