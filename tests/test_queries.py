@@ -182,3 +182,17 @@ def test_contributions_add_up(spark):
 @pytest.mark.parametrize("a,want", [("ask mtcn.05@mail3.example.com", []), ("a.mtcn@x.org moneygram-1@x.org", []), ("The MTCN, by MoneyGram.", ["mtcn", "moneygram"]), ("mtcn me@x.org", ["mtcn"])])
 def test_names_of_mailboxes_are_no_handles(spark, a, want):
     assert one(spark, text.payment_handles(F.col("a")), a=a) == want
+
+
+def test_components_of_few_edges_take_one_part(spark, monkeypatch):
+    """Also where Spark puts no partitions together, so that rounds don't leave files in proportion to partitions."""
+    parts, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: parts.append((out := cut(df)).rdd.getNumPartitions()) or out)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41)], "a long, b long")
+        got = {tuple(r) for r in components.components(edges).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(i, 0) for i in range(31)} | {(40, 40), (41, 40)}
+    assert parts[1:] and set(parts[1:]) == {1}
