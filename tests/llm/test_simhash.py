@@ -171,3 +171,13 @@ def test_sketches_rule_nothing_alike_out():
         apart = len(np.setxor1d(x, y))
         for places in (0, 512):
             assert simhash.jaccard.differing(simhash.jaccard.sketch(x, places), simhash.jaccard.sketch(y, places)) <= apart
+
+
+def test_deduplicate_links_by_fingerprints_first(spark, monkeypatch):
+    """The links of the fingerprints alone join the texts that differ in few bits, and only pairs that are alike."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join([*base[200:], *["spam spam spam spam spam"] * 80]), " ".join([*base[:40], *["spam spam spam spam spam"] * 80])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = simhash.jaccard._pairs
+    monkeypatch.setattr(simhash.jaccard, "_pairs", lambda *a: lambda batches: (b.slice(0, 0) for b in pairs(*a)(batches)))
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == [0, 2, 3]

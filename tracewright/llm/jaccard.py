@@ -1,4 +1,8 @@
-"""Exact near-copy join on the Jaccard similarity of word shingles, by prefix filtering.
+"""Exact near-copy join on the Jaccard similarity of word shingles: what links of fingerprints find, verified, and the rest by
+prefix filtering.
+
+Texts whose fingerprints are linked come first. Pairs that are alike put their sets in one component, and pairs within it
+aren't tried again; the others are found as follows.
 
 Put every set of shingles in one and the same order. Two sets at similarity t or more share at least t times the larger,
 so each has one of the shared shingles among its first n - ceil(t * n) + 1. Sets that meet under such a shingle are
@@ -13,7 +17,7 @@ this leaves, nearly all of it alike, is verified on the whole sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ MOST_BROADCAST = 200_000
 _EPS = 1e-9
 #: Places of the sketches of one size that go with sets under full keys.
 PLACES = 512
-_SETS = "doc_id long, th long, s long, n int, keys array<long>, bits binary, few binary"
+_SETS = "doc_id long, th long, s long, n int, keys array<long>, bits binary, few binary, fp long"
 _PAIRS = "a long, b long, hot long"
 
 
@@ -81,8 +85,8 @@ def differing(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def _sets(common: np.ndarray, counts: np.ndarray, likeness: float):
-    """(doc_id, th, h) to the set's hash, size, first shingles and sketch."""
+def _sets(common: np.ndarray, counts: np.ndarray, likeness: float, fingerprint: Callable):
+    """(doc_id, th, h) to the set's hash, size, first shingles and sketch, and the text's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -103,8 +107,8 @@ def _sets(common: np.ndarray, counts: np.ndarray, likeness: float):
                 keys.append(own[np.argsort(seen, kind="stable")][: len(own) - math.ceil(likeness * len(own) - _EPS) + 1])
                 bits.append(sketch(own))
                 few.append(sketch(own, PLACES))
-            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(few, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", "s", "n", "keys", "bits", "few"])
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(few, pa.binary()), pa.array(fingerprint(flat, ends).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "th", "s", "n", "keys", "bits", "few", "fp"])
 
     return run
 
@@ -207,6 +211,23 @@ def _sketched(likeness: float):
     return run
 
 
+def _by_fingerprint(own: DataFrame, links: Callable) -> DataFrame:
+    """Pairs (a, b) of sets of which texts have the same fingerprint, or linked ones: for each fingerprint its smallest set stands."""
+    held = cut(own.select("fp", "s").distinct())
+    lead = cut(held.groupBy("fp").agg(F.min("s").alias("lead")))
+    same = held.join(lead, "fp").select("s", "lead")
+    side = lambda fp, s: lead.select(F.col("fp").alias(fp), F.col("lead").alias(s))
+    linked = links(lead.select("fp")).join(side("a", "s"), "a").join(side("b", "lead"), "b").select("s", "lead")
+    return same.union(linked).where("s <> lead").select(F.least("s", "lead").alias("a"), F.greatest("s", "lead").alias("b"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one component yet."""
+    side = lambda s, name: label.select(F.col("s").alias(s), F.col("label").alias(name))
+    both = pairs.distinct().join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+    return both.where("x IS NULL OR y IS NULL OR x <> y").select("a", "b")
+
+
 class _Verifier:
     """Tells which pairs (a, b) of sets are as alike as asked."""
 
@@ -233,25 +254,28 @@ class _Verifier:
         return cut(both.where(common >= F.lit(self.likeness) * (F.size("ha") + F.size("hb") - common) - F.lit(_EPS)).select("a", "b"))
 
 
-def near_copies(docs: DataFrame, doc_id: Column, text: Column, width: int, likeness: float = LIKENESS, full: int = FULL) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: Column, text: Column, width: int, likeness: float, fingerprint: Callable, links: Callable, full: int = FULL) -> DataFrame:
     """(doc_id, th, component) of every row of docs: its id and the hash of its text, and what tells its component.
 
     Rows belong together that a chain of pairs at a Jaccard similarity of `likeness` or more connects, over the sets of
-    their texts' shingles. Texts without words have the empty set, and are alike.
+    their texts' shingles. Texts without words have the empty set, and are alike. `fingerprint` gives the fingerprints of
+    runs of hashes (hashes, ends), `links` the edges (a, b) between fingerprints fp; what they miss is found without them.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(doc_id.alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     sample = docs.where(F.pmod("th", F.lit(SAMPLED)) == 0)
     common, counts = frequent(shingles(sample, [], F.col("text"), width))
     own = shingles(docs, [F.col("doc_id"), F.col("th")], F.col("text"), width)
-    own = cut(own.mapInArrow(_sets(common, counts, likeness), _SETS))
+    own = cut(own.mapInArrow(_sets(common, counts, likeness, fingerprint), _SETS))
     first = F.min(F.struct("doc_id", "th")).alias("r")
     one = own.groupBy("s").agg(first, F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("few").alias("few"))
     one = cut(one.select("s", "r.doc_id", "r.th", "n", "keys", "bits", "few"))
     keyed = one.select("s", "n", F.posexplode("keys").alias("p", "key"))
     verifier = _Verifier(docs, one, width, likeness)
+    met = verifier.alike(verifier.near(_by_fingerprint(own, links)))
+    label = components(met).select(F.col("node").alias("s"), "label")
     tried = _candidates(keyed.withColumn("label", F.lit(0)), likeness, full, False)
-    found = verifier.alike(verifier.near(tried.where("hot IS NULL").select("a", "b")))
+    found = met.union(verifier.alike(verifier.near(_apart(tried.where("hot IS NULL").select("a", "b"), label))))
     label = components(found).select(F.col("node").alias("s"), "label")
     hot = tried.where("hot IS NOT NULL").select(F.col("hot").alias("key"))
     if hot.take(1):

@@ -191,12 +191,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = jaccard.LIKENESS) -> DataFrame:
     """The rows of docs without near copies: of each component one row stays, the one with the smallest id.
 
+    Texts are linked by their fingerprints, as above, and each link is verified. Pairs whose fingerprints differ in more bits,
+    which no key of blocks tells, are then found by an exact join.
     Texts are near copies if the Jaccard similarity of their shingles of `width` words is `likeness` or more, exactly; a
     component is what a chain of such pairs connects. Rows without an id come last. Rows of one id are told apart by
     their texts, so none with a text of its own is lost, and of repeated rows one stays. An empty table gives an empty
     one; other columns, whatever their names, are carried along.
     """
-    found = jaccard.near_copies(docs, F.col(id_col).cast("long"), F.col(text_col), width, likeness)
+    found = jaccard.near_copies(docs, F.col(id_col).cast("long"), F.col(text_col), width, likeness, majority, links)
     counted = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))  # combined before the shuffle
     kept = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "n")).alias("r")).select("r.doc_id", "r.th", "r.n")
     kept = cut(kept.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), (F.col("n") > 1).alias("_kept_more")))
