@@ -12,6 +12,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -23,7 +24,7 @@ from ..session import small_batches
 #: Pieces of up to so many bytes are scanned; longer ones, rare and at worst quadratic to scan, go through a heap.
 SCANNED = 128
 #: Pieces remembered at a time, and the longest piece that is remembered.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 64
 _NONE = 1 << 60
 #: The pattern that cuts texts into pieces for vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,31 +52,40 @@ class Codec:
         self.id_of = {raw(t): i for t, i in model["vocab"].items() if all(c in of for c in t)}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(merges)}
+        self._byte_id = [self.id_of.get(bytes([b]), -1 - b) for b in range(256)]
+        self._made = [self.id_of[a + b] for a, b in ((raw(a), raw(b)) for a, b in merges)]
+        self._rank_of = {(self._id(a), self._id(b)): r for (a, b), r in self.rank.items()}.get
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pieces = regex.compile(PATTERN)
         self._known: dict[str, tuple[bytes, bytes]] = {}
 
+    def _id(self, part: bytes) -> int:
+        """A part's id; bytes that the vocabulary lacks have negative numbers."""
+        return self._byte_id[part[0]] if len(part) == 1 else self.id_of[part]
+
     def merge(self, piece: bytes) -> list[bytes]:
         """The parts of a piece after all merges, lowest rank first and of equal ones the leftmost."""
         return self._scan(piece) if len(piece) <= SCANNED else self._heap(piece)
 
     def _scan(self, piece: bytes) -> list[bytes]:
-        rank = self.rank
+        rank, made = self._rank_of, self._made
         at = list(range(len(piece) + 1))
-        ranks = [rank.get((piece[i : i + 1], piece[i + 1 : i + 2]), _NONE) for i in range(len(piece) - 1)]
+        ids = [self._byte_id[b] for b in piece]  # of the parts: pairs of numbers are found faster than pairs of bytes
+        ranks = [rank(pair, _NONE) for pair in pairwise(ids)]
         while ranks:
             least = min(ranks)
             if least == _NONE:
                 break
             i = ranks.index(least)
-            del at[i + 1], ranks[i]
+            ids[i] = made[least]
+            del at[i + 1], ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get((piece[at[i] : at[i + 1]], piece[at[i + 1] : at[i + 2]]), _NONE)
+                ranks[i] = rank((ids[i], ids[i + 1]), _NONE)
             if i:
-                ranks[i - 1] = rank.get((piece[at[i - 1] : at[i]], piece[at[i] : at[i + 1]]), _NONE)
-        return [piece[a:b] for a, b in zip(at, at[1:], strict=False)]
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NONE)
+        return [piece[a:b] for a, b in pairwise(at)]
 
     def _heap(self, piece: bytes) -> list[bytes]:
         n, rank = len(piece), self.rank
@@ -120,9 +130,10 @@ class Codec:
                 ids.append(str(self.special[part]).encode())
                 out.append(part.encode())
             elif part:
-                for a, b in map(self._of, self._pieces.findall(part)):
-                    ids.append(a)
-                    out.append(b)
+                known, of = self._known.get, self._of
+                got = [known(piece) or of(piece) for piece in self._pieces.findall(part)]
+                ids += [a for a, _ in got]
+                out += [b for _, b in got]
         return b",".join(ids), b"".join(out)
 
     def encode(self, text: str) -> list[int]:
